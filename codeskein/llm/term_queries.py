@@ -32,10 +32,10 @@ SQL = {
     "p6_term_weights": f"""
         WITH {_WORDS},
         places AS (SELECT hit_id, row_number() OVER () AS r, w FROM words),
-        at AS (SELECT hit_id, r, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM places),
+        spots AS (SELECT hit_id, r, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM places),
         deg AS (
           SELECT a.hit_id, a.term, count(DISTINCT b.term) AS degree
-          FROM at a LEFT JOIN at b ON a.r = b.r AND abs(a.i - b.i) BETWEEN 1 AND 2 AND a.term <> b.term GROUP BY ALL),
+          FROM spots a LEFT JOIN spots b ON a.r = b.r AND abs(a.i - b.i) BETWEEN 1 AND 2 AND a.term <> b.term GROUP BY ALL),
         len AS (SELECT hit_id, count(*) AS length FROM held GROUP BY hit_id),
         n AS (SELECT (SELECT count(DISTINCT hit_id) FROM search_hits) AS records, (SELECT avg(length) FROM len) AS mean),
         s AS (
