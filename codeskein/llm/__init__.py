@@ -1,5 +1,5 @@
 """Operations of a training-data pipeline over source code and pages."""
 
-from codeskein.llm import chunk_queries, spam_queries, term_queries
+from codeskein.llm import bin_queries, chunk_queries, mixture_queries, spam_queries, term_queries
 
-MODULES = [chunk_queries, term_queries, spam_queries]
+MODULES = [chunk_queries, term_queries, bin_queries, mixture_queries, spam_queries]
