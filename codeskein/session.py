@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per context, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_codeskein_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="codeskein-package-")) / "codeskein.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*")):
+            if f.is_file() and f.suffix != ".pyc":
+                z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._codeskein_shipped = True
