@@ -40,7 +40,7 @@ SQL = {
         n AS (SELECT (SELECT count(DISTINCT hit_id) FROM search_hits) AS records, (SELECT avg(length) FROM len) AS mean),
         s AS (
           SELECT hit_id, term, degree, holders, CASE WHEN holders > 1 THEN ln((records + 1.0) / holders) ELSE 0.0 END AS rare,
-                 1 - 0.003 + 0.003 * length / mean AS pivot
+                 1 - 0.003 + 0.003 * length / mean AS norm
           FROM deg JOIN df USING (term) JOIN len USING (hit_id), n)
-        SELECT hit_id, term, degree, holders, round(rare, 6) AS rarity, round((1 + degree) / pivot * rare, 6) AS weight FROM s""",
+        SELECT hit_id, term, degree, holders, round(rare, 6) AS rarity, round((1 + degree) / norm * rare, 6) AS weight FROM s""",
 }
