@@ -1,0 +1,362 @@
+"""Grammars and lexers of C# and C++, over one-character token kinds.
+
+The grammars describe what is left after a lexer has settled, as the languages' own rules do by looking ahead,
+which angle brackets enclose type arguments and which parentheses are casts, and has folded qualified and generic
+names, array ranks, attributes and specifiers into the tokens they belong to.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from codeskein.llm.lalr import Parser, Tables, build
+
+#: Stands for a token that is part of its neighbour; the parser doesn't see it.
+FOLDED = "_"
+
+CSHARP = """
+unit      : item*
+item      : typedecl | namespace | stmt | attr
+namespace : Z N ; | Z N { item* }
+attr      : [ args ]
+typedecl  : M* K N parens? bases? where* typebody | M* E N bases? { enumlist? } ;? | M* G type N parens where* ;
+bases     : ':' base | bases , base
+base      : N | N parens
+where     : H N ':' limit | where , limit
+limit     : N | K | E | D | W parens
+typebody  : { member* } ;? | ;
+enumlist  : enumitem | enumlist , enumitem | enumlist ,
+enumitem  : attr* N | attr* N = expr
+member    : attr | typedecl | M* method
+method    : decl ; | type N parens where* body | N parens chain? body | P N parens body
+          | type N accessors | type N accessors = value ; | type N A expr ; | type N index accessors | type N index A expr ;
+index     : [ args ]
+chain     : ':' N parens
+body      : block | A expr ; | ;
+accessors : { accessor+ }
+accessor  : attr* M* N body
+type      : N | parens
+block     : { stmt* }
+stmt      : block | ; | expr ; | decl ; | M+ decl ; | function
+          | i parens stmt | i parens stmt e stmt | w parens stmt | d stmt w parens ;
+          | f ( forinit? ; expr? ; exprs? ) stmt | F ( type N n expr ) stmt | F ( expr n expr ) stmt
+          | s parens { section* } | N ':' stmt | r ; | r expr ; | b ; | g N ; | g c expr ; | g D ; | h ;
+          | t block catch+ | t block catch* y block | u parens stmt | u expr ; | u M expr ; | u decl ; | k parens stmt | k block
+section   : c pattern ':' | c pattern Q expr ':' | D ':' | stmt
+catch     : C block | C parens block | C parens Q parens block | C Q parens block
+forinit   : exprs | decl
+exprs     : expr | exprs , expr
+decl      : type N | type N = value | decl , N | decl , N = value
+function  : M* type N parens where* block | M* type N parens where* A expr ;
+value     : expr | init
+expr      : tern | tern = value | tern A expr | tern A block | query
+tern      : bin | bin ? expr ':' expr
+bin       : unary | bin op unary | bin z pattern | bin Y unary | bin Y | Y unary | Y
+op        : + | * | & | B | R
+unary     : postfix | prefix unary
+prefix    : + | * | & | P | I | h
+postfix   : primary | postfix . N | postfix parens | postfix [ args ] | postfix I | postfix s { arms } | postfix s { } | postfix v init
+primary   : N | L | parens | D | [ args ] | [ ] | G block | G parens block
+          | W N parens | W N parens init | W N init | W N [ args ] | W N [ args ] init | W parens | W parens init | W [ ] init | W init | W [ args ] init
+parens    : ( ) | ( args )
+args      : arg | args , arg
+arg       : expr | type N | type N = expr | N ':' expr
+init      : { } | { inits } | { inits , }
+inits     : value | inits , value
+arms      : arm | arms , arm | arms ,
+arm       : pattern A expr | pattern Q expr A expr
+pattern   : patterm | pattern a patterm
+patterm   : unary | unary N | R unary | l patterm | props | props N | unary props | unary props N | unary op unary
+props     : { } | { proplist } | { proplist , }
+proplist  : N ':' pattern | proplist , N ':' pattern
+query     : q clause | query q clause
+clause    : exprs | N n expr | N N n expr
+"""
+
+CPP = """
+unit      : item*
+item      : member | Z N? { item* } | Z N = N ; | L { item* } | L member
+member    : ; | class ; | class declarators ; | enum ; | enum declarators ; | u expr ; | u Z N ; | u N = value ;
+          | p ':' | func | dtype declarators ; | macro ;
+class     : K N? bases? { member* } | K N
+enum      : E K? N? { enumlist? } | E K? N? ':' N { enumlist? } | E K? N ':' N | E K? N
+bases     : ':' base | bases , base
+base      : p? N
+enumlist  : enumitem | enumlist , enumitem | enumlist ,
+enumitem  : N | N = expr
+bits      : ':' expr
+dtype     : N | N ptrs
+ptrs      : ptr+
+ptr       : * | & | V
+declarators : declarator | declarators , ptrs? declarator
+declarator  : N | N = value | N init | N index+ | N index+ = value | N index+ init | N bits | N bits = value | N bits init
+          | N parens | N parens suffix | N parens = value | N parens suffix = value | N parens parens
+macro     : N parens | N parens suffix | N parens = value | N parens parens | N parens parens = value | P N parens | P N parens = value | N
+index     : [ ] | [ expr ]
+suffix    : . dtype | & | V
+func      : dtype N parens suffix? block | N parens suffix? minits? block | P N parens block | N parens parens block
+minits    : ':' minit | minits , minit
+minit     : N parens | N init
+block     : { stmt* }
+stmt      : block | ; | exprs ; | decl ; | i cond stmt | i cond stmt e stmt | w cond stmt | d stmt w parens ;
+          | f ( forinit? ; expr? ; exprs? ) stmt | f ( range ':' value ) stmt | f ( forinit ; range ':' value ) stmt | s cond stmt | c expr ':' | D ':' | N ':' stmt
+          | r ; | r value ; | b ; | g N ; | t block catch+ | class ; | class declarators ; | enum ; | enum declarators ; | u expr ; | u Z N ; | u N = value ; | Z N = N ;
+catch     : C parens block
+cond      : parens | ( forinit? ; arg )
+forinit   : exprs | decl
+range     : N N | bin
+exprs     : expr | exprs , expr
+decl      : N N | N N = value | N N init | N N parens | N N index+ | N N index+ = value | N N index+ init | N N parens parens
+          | decl , ptrs? N | decl , ptrs? N = value | decl , ptrs? N init | decl , ptrs? N parens | decl , ptrs? N index+ | decl , ptrs? N index+ = value
+value     : expr | init
+expr      : tern | tern = value | h
+tern      : bin | bin ? expr ':' expr
+bin       : unary | bin op unary
+op        : + | * | & | V | B | R
+unary     : postfix | prefix unary
+prefix    : + | * | & | V | P | I | h | W
+postfix   : primary | postfix . N | postfix parens | postfix [ args ] | postfix I
+primary   : N | L | parens | N init | lambda
+lambda    : lamhead block | lamhead parens block | lamhead parens . dtype block
+lamhead   : [ ] | [ args ]
+parens    : ( ) | ( args )
+args      : arg | args , arg
+arg       : value | N N | N N = value | N N index+
+init      : { } | { inits } | { inits , }
+inits     : value | . N = value | inits , value | inits , . N = value
+"""
+
+# The words and operators of the two languages, by token kind. Words that are only sometimes keywords
+# have digits as kinds, which the rules below settle.
+_CSHARP_WORDS = {
+    "M": "public private protected internal static readonly sealed abstract virtual override extern unsafe const volatile event implicit explicit",
+    "K": "class struct interface", "E": "enum", "Z": "namespace", "W": "new stackalloc", "G": "delegate", "O": "operator",
+    FOLDED: "ref out params", "n": "in", "i": "if", "e": "else", "w": "while", "f": "for", "F": "foreach", "d": "do", "s": "switch", "c": "case",
+    "D": "default", "r": "return", "b": "break continue", "g": "goto", "h": "throw", "t": "try", "C": "catch", "y": "finally", "u": "using", "k": "lock fixed",
+    "L": "true false null", "z": "is", "B": "as", "H": "where",
+    "0": "this", "1": "record", "2": "partial required", "3": "when", "4": "with", "5": "and or", "6": "not", "7": "async", "8": "await", "9": "yield", "!": "checked unchecked",
+}
+_CPP_WORDS = {
+    FOLDED: "const volatile static inline constexpr virtual explicit extern mutable friend typename register thread_local constinit consteval typedef override final",
+    "T": "int long short char unsigned signed double float bool void wchar_t char8_t char16_t char32_t",
+    "K": "class struct union", "E": "enum", "Z": "namespace", "W": "new", "O": "operator", "p": "public private protected", "X": "template",
+    "i": "if", "e": "else", "w": "while", "f": "for", "d": "do", "s": "switch", "c": "case", "D": "default", "r": "return co_return", "b": "break continue", "g": "goto",
+    "h": "throw", "t": "try", "C": "catch", "u": "using", "L": "true false nullptr", "P": "delete sizeof co_await co_yield alignof", "B": "and or xor bitand bitor",
+    "J": "alignas __declspec __attribute__", "j": "decltype", "9": "noexcept",
+}
+_OPERATORS = {
+    "+": "+ -", "*": "*", "&": "&", "B": "/ % == != || | ^ <<", "<": "<", ">": ">", "R": "<= >=", "I": "++ --", "=": "= += -= *= /= %= &= |= ^= <<=",
+    "?": "?", ":": ":", ",": ",", ";": ";", ".": ". ->", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}",
+}
+_CSHARP_OPERATORS = _OPERATORS | {"B": _OPERATORS["B"] + " && ??", "=": _OPERATORS["="] + " ??=", "A": "=>", "Y": "..", ".": ". -> ?. ::", "P": "~", "X": "!"}
+_CPP_OPERATORS = _OPERATORS | {"B": _OPERATORS["B"] + " <=> .* ->*", "P": "~ !", "V": "&&", "x": "::", "Y": "..."}
+#: Words of query expressions, kind q inside a query.
+_QUERY_WORDS = frozenset("from where select orderby let join on equals into group by".split())
+_QUERY = re.compile(r"\bfrom\s+\w+(?:\s+\w+)?\s+in\b")
+
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+_CSHARP_TOKEN = re.compile(
+    rf"""\s+|[^\W\d]\w*|{_COMMENT}|\#[^\n]*
+    |(?:\$+@?|@\$?)?"{{3,}}(?:[^"]|"{{1,2}}(?!"))*"{{3,}}
+    |(?:\$@|@\$|@)"(?:[^"]|"")*"
+    |\$"(?:[^"\\\n{{]|\\.|\{{\{{|\{{(?:[^{{}}"\n]|"(?:[^"\\\n]|\\.)*"|\{{[^{{}}]*\}})*\}})*"
+    |"(?:[^"\\\n]|\\.)*"(?:u8)?|'(?:[^'\\\n]|\\[^\n][^'\n]*)'
+    |@[^\W\d]\w*|\d\w*(?:\.\d\w*)?(?:(?<=[eE])[+-]\d+)?|\.\d\w*
+    |\?\?=?|\?\.(?!\d)|=>|::|->|\.\.|\+\+|--|<<=|<<|[-+*/%&|^!=<>]=|&&|\|\||[\s\S]""",
+    re.X,
+)
+_CPP_RAW = r"""(?:u8|[uUL])?R"([^()\s\\]{0,16})\([\s\S]*?\)\1"|"""
+_CPP_REST = rf"""(?:u8|[uUL])(?:"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\.[^'\n]*)')|[^\W\d]\w*|{_COMMENT}
+    |\#(?:[^\n\\/]|\\\r?\n|\\[^\n]|/(?!\*)|/\*[\s\S]*?\*/)*
+    |"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\.[^'\n]*)'
+    |\.?\d(?:[eEpP][+-]|'?[\w.])*
+    |<=>|->\*?|::|\.\.\.|\.\*|\+\+|--|<<=|<<|[-+*/%&|^!=<>]=|&&|\|\||[\s\S]"""
+_CPP_TOKEN = re.compile(rf"\s+|{_CPP_REST}", re.X)
+_CPP_RAW_TOKEN = re.compile(rf"\s+|{_CPP_RAW}{_CPP_REST}", re.X)
+
+
+def tokens_of(text: str, language: str) -> list[str]:
+    """The text cut into tokens, comments and runs of white space; joined they are the text again."""
+    if language == "CSharp":
+        return _CSHARP_TOKEN.findall(text)
+    return [m.group() for m in _CPP_RAW_TOKEN.finditer(text)] if 'R"' in text else _CPP_TOKEN.findall(text)
+
+
+class _Kinds(dict):
+    """Kind of a token by its text; what isn't a known word is classified by its first characters."""
+
+    def __missing__(self, token: str) -> str:
+        c = token[0]
+        if c.isspace() or token[:2] in ("//", "/*"):
+            kind = FOLDED if token != "/*" else "\x01"
+        elif c == "#":
+            kind = "#"
+        elif c in "\"'$@" or (token[-1] in "\"'" and len(token) > 2):
+            kind = "S" if len(token) > 1 and (token[-1] in "\"'" or token.endswith('"u8')) else "N" if c == "@" and len(token) > 1 else "\x01"
+        elif c.isalpha() or c == "_":
+            kind = "N"
+        elif c.isdigit() or (c == "." and len(token) > 1 and token[1].isdigit()):
+            kind = "L"
+        else:
+            kind = "\x01"  # belongs to no token
+        if len(self) < 200_000 and len(token) < 60:
+            self[token] = kind
+        return kind
+
+
+def _table(words: dict[str, str], operators: dict[str, str]) -> _Kinds:
+    return _Kinds({w: k for group in (words, operators) for k, text in group.items() for w in text.split()})
+
+
+_KINDS = {"CSharp": _table(_CSHARP_WORDS, _CSHARP_OPERATORS), "Cpp": _table(_CPP_WORDS, _CPP_OPERATORS)}
+_DIRECTIVE = re.compile(r"#\s*(\w*)")
+
+
+def _branches(kinds: list[str], tokens: list[str], last: bool) -> bool:
+    """Folds directives and all branches of conditionals but the first, or the last; False if they don't match up."""
+    at: list[list] = []  # per open conditional its branch's number and whether #else was seen
+    spans: list[tuple[int, int, list]] = []
+    opened = -1
+    for i, k in enumerate(kinds):
+        if k != "#":
+            continue
+        kinds[i] = FOLDED
+        word = _DIRECTIVE.match(tokens[i])[1]
+        if word not in ("if", "ifdef", "ifndef", "else", "elif", "elifdef", "elifndef", "endif"):
+            continue
+        spans.append((opened, i, [(x, x[0]) for x in at]))
+        opened = i
+        if word.startswith("if"):
+            at.append([0, False])
+        elif not at or (word != "endif" and at[-1][1]):
+            return False
+        elif word == "endif":
+            at.pop()
+        else:
+            at[-1][0] += 1
+            at[-1][1] = word == "else"
+    if at:
+        return False
+    for a, b, inside in spans:
+        if any(branch != (x[0] if last else 0) for x, branch in inside):
+            for j in range(a + 1, b):
+                kinds[j] = FOLDED
+    return True
+
+
+def _query_kinds(kinds: list[str], tokens: list[str]) -> None:
+    inside = False
+    for i, t in enumerate(tokens):
+        if t == "from" and kinds[i] == "N":
+            rest = [k for k in kinds[i + 1 : i + 9] if k != FOLDED]
+            inside = inside or rest[:2] == ["N", "n"] or rest[:3] == ["N", "N", "n"]
+        elif t == ";":
+            inside = False
+        if inside and t in _QUERY_WORDS:
+            kinds[i] = "q"
+        elif inside and t in ("ascending", "descending"):
+            kinds[i] = FOLDED
+
+
+_GROUP = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+_CS_TYPE = r"n?(?:N|\(NN?(?:,NN?)+\))[?*]*"
+_CPP_ARGUMENT = r"(?:[NLK,Y?]|[*&V]+(?=[,>)Y])|\[L?\]|N?\((?:[NLK,Y]|[*&V]+(?=[,)N]))*\))"
+
+Folds = list[tuple[re.Pattern, str]]
+
+
+def _folds(*rules: tuple[str, str]) -> Folds:
+    return [(re.compile(a), b) for a, b in rules]
+
+
+#: Rules in order; each rule's match becomes its right side. The middle ones are repeated until nothing changes.
+_CS_FIRST = _folds(
+    ("S", "L"), (r"(?<=\()0(?=N)", ""), ("0", "N"), (r"1(?=K?N[<({:;])", "K"), ("1", "N"), ("KK", "K"),
+    (r"9(?=[rb])", ""), (r"8(?=[Fu])", ""), (r"8(?=[NLW(])", "P"), (r"7(?=NA|G)", ""), (rf"7(?={_GROUP}A)", ""), (r"[27](?=[MNKE27(])", "M"), (r"!(?=\()", "N"), ("!", "k"),
+    (r"H(?!N:)", "N"), (r"(?<=[NL)}\]C])3(?=[NL(P+XI])", "Q"), (r"(?<=[N)\]])4(?=\{)", "v"), (r"(?<=[NL)}\]])5(?=[NL<>R(6{P+\[])", "a"), (r"(?<=[za(,c])6(?=[NL<>R{(])", "l"), ("[2-9]", "N"),
+    (r"(?<=[(,])n", ""), (r"M(?=\{)", "k"), (r"(?<=M)W|W(?=M)", "M"), (r"(?:^|(?<=;))N(?=u)", ""),
+)
+_CS_LOOP = _folds(
+    (r"N(?:\.N)+", "N"), (r"(?<=[N?)>])(?:\[,*\])+", ""), (rf"N<(?:{_CS_TYPE}(?:,{_CS_TYPE})*|,*)>(?=[()\]}}:;,.?B&>\[{{A=N*Y]|\Z)", "N"),
+    (r"(?<=[N)])\?(?=[),>\[\].]|N[=;,){A:n](?<!:))", ""), (r"(?<=[M;{}\]]N)\?(?=N\()", ""),
+)
+_CS_LAST = _folds(
+    (r">>", "B"), (r">R", "="), (r"(?<=[N)])O[^(]+(?=\()", "N"), (r"O(?=N\()", ""), (r"(?<=[(,])(?:\[[^\[\]]*\])+(?=[N(])", ""),
+    (r"(?<=[NL)\]])X(?=[.;,)\]}?:=\[BRA<>&*+])", ""), ("X", "P"), (r"(?<![N)\]iwfFsukCGH])\(N\**\)(?=[NLWDP])", "P"), ("[<>]", "R"),
+)
+_CPP_FIRST = _folds(
+    ("S+", "L"), ("T+", "N"), (r"\[\[[^\[\]]*\]\]", ""), (rf"J{_GROUP}", ""), (rf"j{_GROUP}", "N"), (rf"9(?:{_GROUP})?", ""), (r"\.X", "."),
+    (r"X<(?:[^<>;{}]|<(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>)*>", ""), ("X", ""), (r"P\[\]", "P"), (r"(?<=[N)>&*VP])Y", ""), (r"(?<=[\[,])[&=](?=[,\]])", "N"),
+)
+_CPP_LOOP = _folds((r"(?<!N)x(?=[NWP])", ""), (rf"N<{_CPP_ARGUMENT}*>(?=[^L+P]|\Z)", "N"), (r"N(?:xP?N)+", "N"), (r"Nx(?=\*)", ""), (r"(?:(?<=N)x)?O(?:\(\)|\[\]|[WP]|L|[-+*&VBRI=P<>.,]+|N[*&]*)(?=\()", "N"))
+_CPP_LAST = _folds(
+    (r">>", "B"), (r">R", "="), ("Y", "L"), (r"=[DP](?=;)", "=L"), (r"pN:", "p:"), (r"KN(?=N[{:])", "K"), (r"K(?=N[N*&,)>(=])", ""), (r"W\([^()]*\)(?=N)", "W"),
+    (r"(?<![N)\]iwfsCj])\(N[*&V]*\)(?=[NLWP])", "P"), ("[<>]", "R"),
+)
+_FOLDS = {"CSharp": (_CS_FIRST, _CS_LOOP, _CS_LAST), "Cpp": (_CPP_FIRST, _CPP_LOOP, _CPP_LAST)}
+
+
+def _folded(kinds: str, language: str, places: list[int] | None = None) -> str:
+    """The kinds after all rules; ``places``, if given, is kept in step with them."""
+
+    def run(rule: tuple[re.Pattern, str], kinds: str) -> str:
+        pattern, new = rule
+        if places is not None:
+            gone = {i for m in pattern.finditer(kinds) for i in range(m.start() + len(new), m.end())}
+            if gone:
+                places[:] = [x for i, x in enumerate(places) if i not in gone]
+        return pattern.sub(new, kinds)
+
+    first, loop, last = _FOLDS[language]
+    for rule in first:
+        kinds = run(rule, kinds)
+    while True:
+        before = kinds
+        for rule in loop:
+            kinds = run(rule, kinds)
+        if kinds == before:
+            break
+    for rule in last:
+        kinds = run(rule, kinds)
+    return kinds
+
+
+@lru_cache(maxsize=2)
+def tables(language: str) -> Tables:
+    return build(CSHARP if language == "CSharp" else CPP)
+
+
+@lru_cache(maxsize=2)
+def parser(language: str) -> Parser:
+    return Parser(tables(language))
+
+
+def analyse(text: str, language: str) -> tuple[list[str], list[str], int | None]:
+    """Tokens, their kinds, and the index of the first token at which the text can't go on as ``language``
+    (``len(tokens)`` for an early end, None if it is valid).
+
+    Of conditional directives the first branches are taken, else the last ones; tokens of other branches are folded.
+    """
+    tokens = tokens_of(text, language)
+    lookup = _KINDS[language]
+    plain = [lookup[t] for t in tokens]
+    if language == "CSharp" and "from" in tokens and "in" in tokens:
+        _query_kinds(plain, tokens)
+    found = first = None
+    for last in (False, True):
+        kinds = list(plain)
+        if "#" in plain:
+            if not _branches(kinds, tokens, last):
+                return tokens, kinds, plain.index("#")
+        elif last:
+            break
+        bare = "".join(kinds).replace(FOLDED, "")
+        at = parser(language).error_at(_folded(bare, language))
+        if at < 0:
+            return tokens, kinds, None
+        if found is None:
+            places = [i for i, k in enumerate(kinds) if k != FOLDED]
+            _folded(bare, language, places)
+            found, first = places[at] if at < len(places) else len(tokens), kinds
+    return tokens, first, found
