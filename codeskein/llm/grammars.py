@@ -14,6 +14,8 @@ from codeskein.llm.lalr import Parser, Tables, build
 
 #: Stands for a token that is part of its neighbour; the parser doesn't see it.
 FOLDED = "_"
+#: Stands for a token of a branch of a conditional directive that isn't taken.
+DROPPED = "\x02"
 
 CSHARP = """
 unit      : item*
@@ -214,7 +216,7 @@ _DIRECTIVE = re.compile(r"#\s*(\w*)")
 
 
 def _branches(kinds: list[str], tokens: list[str], last: bool) -> bool:
-    """Folds directives and all branches of conditionals but the first, or the last; False if they don't match up."""
+    """Folds directives and drops all branches of conditionals but the first, or the last; False if they don't match up."""
     at: list[list] = []  # per open conditional its branch's number and whether #else was seen
     spans: list[tuple[int, int, list]] = []
     opened = -1
@@ -240,8 +242,7 @@ def _branches(kinds: list[str], tokens: list[str], last: bool) -> bool:
         return False
     for a, b, inside in spans:
         if any(branch != (x[0] if last else 0) for x, branch in inside):
-            for j in range(a + 1, b):
-                kinds[j] = FOLDED
+            kinds[a + 1 : b] = DROPPED * (b - a - 1)
     return True
 
 
@@ -336,7 +337,7 @@ def analyse(text: str, language: str) -> tuple[list[str], list[str], int | None]
     """Tokens, their kinds, and the index of the first token at which the text can't go on as ``language``
     (``len(tokens)`` for an early end, None if it is valid).
 
-    Of conditional directives the first branches are taken, else the last ones; tokens of other branches are folded.
+    Of conditional directives the first branches are taken, else the last ones; tokens of other branches are dropped.
     """
     tokens = tokens_of(text, language)
     lookup = _KINDS[language]
@@ -351,12 +352,12 @@ def analyse(text: str, language: str) -> tuple[list[str], list[str], int | None]
                 return tokens, kinds, plain.index("#")
         elif last:
             break
-        bare = "".join(kinds).replace(FOLDED, "")
+        bare = "".join(kinds).replace(FOLDED, "").replace(DROPPED, "")
         at = parser(language).error_at(_folded(bare, language))
         if at < 0:
             return tokens, kinds, None
         if found is None:
-            places = [i for i, k in enumerate(kinds) if k != FOLDED]
+            places = [i for i, k in enumerate(kinds) if k not in (FOLDED, DROPPED)]
             _folded(bare, language, places)
             found, first = places[at] if at < len(places) else len(tokens), kinds
     return tokens, first, found
