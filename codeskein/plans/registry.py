@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeskein.plans import hot_targets
+from codeskein.plans import graph, hot_targets, navigation
 
-MODULES = [hot_targets]
+MODULES = [hot_targets, navigation, graph]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
