@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeskein.operators.skew import skew_join
+from codeskein.session import materialize
 
 #: Two terms are neighbours when at most this many places apart, plus one, in a record's list.
 WINDOW = 3
@@ -41,7 +42,7 @@ def term_weights(hits: DataFrame, window: int = WINDOW) -> DataFrame:
         lambda t, i: F.struct(t.alias("term"), F.array_remove(F.array_distinct(F.slice(F.col("words"), F.greatest(F.lit(1), i + 2 - window), window - 1 + F.least(i + 1, F.lit(window)))), t).alias("near")),
     )
     edges = rows.select("hit_id", F.explode(near).alias("x")).select("hit_id", "x.term", F.explode_outer("x.near").alias("neighbour")).distinct()
-    degrees = edges.groupBy("hit_id", "term").agg(F.count("neighbour").alias("degree"))
+    degrees = materialize(edges.groupBy("hit_id", "term").agg(F.count("neighbour").alias("degree")))
     lengths = degrees.groupBy("hit_id").agg(F.count(F.lit(1)).alias("length"))
     mean = lengths.agg(F.avg("length")).first()[0] or 1.0
     holders = degrees.groupBy("term").agg(F.count(F.lit(1)).alias("holders"))
