@@ -30,7 +30,7 @@ def term_weights(hits: DataFrame, window: int = WINDOW) -> DataFrame:
     length the record's distinct terms. Null ``hit_id``, null or empty arrays and blank terms give no rows; an
     empty table gives none. Other columns are ignored.
 
-    Each record's windows are formed inside its row; records meet only by (record, term) keys. Frequent terms get
+    Neighbours are told apart by 64-bit hashes. Each record's windows are formed inside its row; records meet only by (record, term) keys. Frequent terms get
     their holders by broadcast, the others by shuffle.
     """
     if window < 2:
@@ -41,7 +41,7 @@ def term_weights(hits: DataFrame, window: int = WINDOW) -> DataFrame:
         F.col("words"),
         lambda t, i: F.struct(t.alias("term"), F.array_remove(F.array_distinct(F.slice(F.col("words"), F.greatest(F.lit(1), i + 2 - window), window - 1 + F.least(i + 1, F.lit(window)))), t).alias("near")),
     )
-    edges = rows.select("hit_id", F.explode(near).alias("x")).select("hit_id", "x.term", F.explode_outer("x.near").alias("neighbour")).distinct()
+    edges = rows.select("hit_id", F.explode(near).alias("x")).select("hit_id", "x.term", F.explode_outer(F.transform("x.near", lambda t: F.xxhash64(t))).alias("neighbour")).distinct()
     degrees = materialize(edges.groupBy("hit_id", "term").agg(F.count("neighbour").alias("degree")))
     lengths = degrees.groupBy("hit_id").agg(F.count(F.lit(1)).alias("length"))
     mean = lengths.agg(F.avg("length")).first()[0] or 1.0
