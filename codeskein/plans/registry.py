@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeskein.plans import graph, hot_targets, navigation, search, workspace
+from codeskein.plans import frontend, graph, hot_targets, navigation, search, workspace
 
-MODULES = [hot_targets, navigation, graph, search, workspace]
+MODULES = [hot_targets, navigation, graph, search, workspace, frontend]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
