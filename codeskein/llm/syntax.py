@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeskein.llm.grammars import analyse
+from codeskein.lang.grammars import analyse
 
 LANGUAGES = ("CSharp", "Cpp")
 #: Distinct pairs of file suffix and language up to which they are broadcast.
