@@ -151,7 +151,7 @@ _OPERATORS = {
     "+": "+ -", "*": "*", "&": "&", "B": "/ % == != || | ^ <<", "<": "<", ">": ">", "R": "<= >=", "I": "++ --", "=": "= += -= *= /= %= &= |= ^= <<=",
     "?": "?", ":": ":", ",": ",", ";": ";", ".": ". ->", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}",
 }
-_CSHARP_OPERATORS = _OPERATORS | {"B": _OPERATORS["B"] + " && ??", "=": _OPERATORS["="] + " ??=", "A": "=>", "Y": "..", ".": ". -> ?. ::", "P": "~", "X": "!"}
+_CSHARP_OPERATORS = _OPERATORS | {"B": _OPERATORS["B"].replace("^ ", "") + " && ??", "U": "^", "=": _OPERATORS["="] + " ??=", "A": "=>", "Y": "..", ".": ". -> ?. ::", "P": "~", "X": "!"}
 _CPP_OPERATORS = _OPERATORS | {"B": _OPERATORS["B"] + " <=> .* ->*", "P": "~ !", "V": "&&", "x": "::", "Y": "..."}
 #: Words of query expressions, kind q inside a query.
 _QUERY_WORDS = frozenset("from where select orderby let join on equals into group by".split())
@@ -185,9 +185,15 @@ def tokens_of(text: str, language: str) -> list[str]:
     return [m.group() for m in _CPP_RAW_TOKEN.finditer(text)] if 'R"' in text else _CPP_TOKEN.findall(text)
 
 
+#: Names that may stand for a macro that decorates a declaration.
+_MACRO = re.compile(r"[A-Z]_[A-Z]|(?:EXPORT|IMPORT|API|INLINE|NOEXCEPT|DEPRECATED)$")
+
+
 class _Kinds(dict):
     """Kind of a token by its text; what isn't a known word is classified by its first characters."""
 
+    macros = False
+
     def __missing__(self, token: str) -> str:
         c = token[0]
         if c.isspace() or token[:2] in ("//", "/*"):
@@ -197,7 +203,7 @@ class _Kinds(dict):
         elif c in "\"'$@" or (token[-1] in "\"'" and len(token) > 2):
             kind = "S" if len(token) > 1 and (token[-1] in "\"'" or token.endswith('"u8')) else "N" if c == "@" and len(token) > 1 else "\x01"
         elif c.isalpha() or c == "_":
-            kind = "N"
+            kind = "m" if self.macros and token.isupper() and _MACRO.search(token) else "N"
         elif c.isdigit() or (c == "." and len(token) > 1 and token[1].isdigit()):
             kind = "L"
         else:
@@ -212,6 +218,7 @@ def _table(words: dict[str, str], operators: dict[str, str]) -> _Kinds:
 
 
 _KINDS = {"CSharp": _table(_CSHARP_WORDS, _CSHARP_OPERATORS), "Cpp": _table(_CPP_WORDS, _CPP_OPERATORS)}
+_KINDS["Cpp"].macros = True
 _DIRECTIVE = re.compile(r"#\s*(\w*)")
 
 
@@ -279,20 +286,21 @@ _CS_FIRST = _folds(
     (r"(?<=[(,])n", ""), (r"M(?=\{)", "k"), (r"(?<=M)W|W(?=M)", "M"), (r"(?:^|(?<=;))N(?=u)", ""),
 )
 _CS_LOOP = _folds(
-    (r"N(?:\.N)+", "N"), (r"(?<=[N?)>])(?:\[,*\])+", ""), (rf"N<(?:{_CS_TYPE}(?:,{_CS_TYPE})*|,*)>(?=[()\]}}:;,.?B&>\[{{A=N*Y]|\Z)", "N"),
+    (r"N(?:\.N)+", "N"), (r"(?<=[N?)>])(?:\[,*\])+", ""), (rf"N<(?:{_CS_TYPE}(?:,{_CS_TYPE})*|,*)>(?=[()\]}}:;,.?B&>\[{{A=N*YHzaQsvnX]|\Z)", "N"),
     (r"(?<=[N)])\?(?=[),>\[\].]|N[=;,){A:n](?<!:))", ""), (r"(?<=[M;{}\]]N)\?(?=N\()", ""),
 )
 _CS_LAST = _folds(
-    (r">>", "B"), (r">R", "="), (r"(?<=[N)])O[^(]+(?=\()", "N"), (r"O(?=N\()", ""), (r"(?<=[(,])(?:\[[^\[\]]*\])+(?=[N(])", ""),
+    (r"(?<=[\[,Y])U", "P"), ("U", "B"), (r">>", "B"), (r">R", "="), (r"(?<=[N)])O[^(]+(?=\()", "N"), (r"O(?=N\()", ""), (r"(?<=[(,])(?:\[[^\[\]]*\])+(?=[N(])", ""),
     (r"(?<=[NL)\]])X(?=[.;,)\]}?:=\[BRA<>&*+])", ""), ("X", "P"), (r"(?<![N)\]iwfFsukCGH])\(N\**\)(?=[NLWDP])", "P"), ("[<>]", "R"),
 )
 _CPP_FIRST = _folds(
+    (rf"(?:(?<=[;{{}}])|\A)(?:m{_GROUP})+(?=[mNKTXxE}}]|\Z)", ""), (rf"m{_GROUP}(?=[NT]N)", ""), (r"m(?=[NKTxPX])", ""), (r"(?<=[KN>*&])m(?=[NxO])", ""), ("m", "N"),
     ("S+", "L"), ("T+", "N"), (r"\[\[[^\[\]]*\]\]", ""), (rf"J{_GROUP}", ""), (rf"j{_GROUP}", "N"), (rf"9(?:{_GROUP})?", ""), (r"\.X", "."),
     (r"X<(?:[^<>;{}]|<(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>)*>", ""), ("X", ""), (r"P\[\]", "P"), (r"(?<=[N)>&*VP])Y", ""), (r"(?<=[\[,])[&=](?=[,\]])", "N"),
 )
-_CPP_LOOP = _folds((r"(?<!N)x(?=[NWP])", ""), (rf"N<{_CPP_ARGUMENT}*>(?=[^L+P]|\Z)", "N"), (r"N(?:xP?N)+", "N"), (r"Nx(?=\*)", ""), (r"(?:(?<=N)x)?O(?:\(\)|\[\]|[WP]|L|[-+*&VBRI=P<>.,]+|N[*&]*)(?=\()", "N"))
+_CPP_LOOP = _folds((r"(?<![N>])x(?=[NWPO])", ""), (rf"N<{_CPP_ARGUMENT}*>(?=[^L+P]|\Z)", "N"), (r"N(?:xP?N)+", "N"), (r"Nx(?=\*)", ""), (r"(?:Nx)?O(?:\(\)|\[\]|[WP]|L|[-+*&VBRI=P<>.,]+|N[*&]*)(?=\()", "N"))
 _CPP_LAST = _folds(
-    (r">>", "B"), (r">R", "="), ("Y", "L"), (r"=[DP](?=;)", "=L"), (r"pN:", "p:"), (r"KN(?=N[{:])", "K"), (r"K(?=N[N*&,)>(=])", ""), (r"W\([^()]*\)(?=N)", "W"),
+    (r">>", "B"), (r">R", "="), ("Y", "L"), (r"=[DP](?=;)", "=L"), (r"N\([*&]\)(?=\()", "N"), (r"(?<=N)[*&V]+(?=[,)])", ""), (r"(?<=uN=N)[*&V]+(?=;)", ""), (r"(?<=[(,]N)[*&V]+(?==)", ""), (r"(?<=[(,])E(?=N)", ""), (r"(?<=N)\[\](?=[,)=])", ""), (r"(?<=N)[&V](?=\[N(?:,N)*\][=:])", ""), (r"pN:", "p:"), (r"KN(?=N[{:])", "K"), (r"K(?=N[N*&,)>(=])", ""), (r"W\([^()]*\)(?=N)", "W"),
     (r"(?<![N)\]iwfsCj])\(N[*&V]*\)(?=[NLWP])", "P"), ("[<>]", "R"),
 )
 _FOLDS = {"CSharp": (_CS_FIRST, _CS_LOOP, _CS_LAST), "Cpp": (_CPP_FIRST, _CPP_LOOP, _CPP_LAST)}

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from codeskein.functions.text import is_test, terms
 from codeskein.relations import Relations
+from codeskein.session import materialize
 
 K1, B = 1.2, 0.75
 COMPLETIONS, COMPLETION_FACTOR, LEAST_PREFIX = 30, 0.4, 3
@@ -60,7 +61,7 @@ def completions(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def bm25(rel: Relations, queries: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
     """query, node, score for all queries at once; percentiles (node, percentile) add up to half again."""
-    index = postings(rel)
+    index = materialize(postings(rel))
     length = lengths(index)
     n, mean = length.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg("length"))).first()
     holders = document_frequencies(index)
