@@ -77,6 +77,6 @@ def mix_sources(records: DataFrame, targets: DataFrame, total_tokens: int | None
 
     reached = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.count(F.lit(1)).alias("taken_records"), F.max("copies").alias("most_copies"))
     report = plan.join(F.broadcast(reached), "source", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("actual_tokens", "taken_records", "most_copies")})
-    share = F.coalesce(F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy(F.lit(0))), F.lit(0.0))
+    share = F.coalesce(F.try_divide("actual_tokens", F.sum("actual_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
     report = report.select("source", "target_share", share.alias("actual_share"), "budget", "actual_tokens", "source_tokens", "records", "taken_records", "most_copies")
     return mixture, report

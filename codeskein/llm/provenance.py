@@ -161,7 +161,7 @@ def source_labels(docs: DataFrame, sources: DataFrame, projects: DataFrame) -> D
     foreign = (F.col("namespace") != "") & ~F.array_contains(expected, F.col("namespace"))
     data = F.col("markup") | (F.col("record_share") > 0.6) | ((F.col("code_share") < 0.45) & silent) | ((F.col("code_share") < 0.2) & (F.col("statements") < 0.05) & (F.col("size") > 0))
     written = when(F.col("imports"), "imports") + when(F.col("remark_share") >= 0.01, "remarks")
-    minified = ((F.col("line_chars") > 150) & (F.col("space_share") < 0.15)) | ((F.col("short_names") > 0.3) & (F.col("space_share") < 0.12))
+    minified = ~data & (((F.col("line_chars") > 150) & (F.col("space_share") < 0.15)) | ((F.col("short_names") > 0.3) & (F.col("space_share") < 0.12)))
 
     def summed(label: str, *parts: Column) -> Column:
         whole = parts[0]
