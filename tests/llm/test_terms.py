@@ -36,3 +36,11 @@ def test_weights_against_brute_force(spark):
 
 def test_nothing_gives_nothing(spark):
     assert term_weights(spark.createDataFrame([], HITS)).count() == 0
+
+
+def test_a_record_with_most_rows(spark):
+    rows = [(1, [f"t{i % 7}", f"u{i % 5}", "common"]) for i in range(300)] + [(i, [f"t{i % 7}", "x"]) for i in range(2, 40)]
+    got = {(r["hit_id"], r["term"]): r for r in term_weights(spark.createDataFrame([(h, t, "x", 1.0) for h, t in rows], HITS)).collect()}
+    expected = brute(rows, 3)
+    assert {k: (r["degree"], r["holders"]) for k, r in got.items()} == {k: v[:2] for k, v in expected.items()}
+    assert all(math.isclose(got[k]["weight"], v[2], abs_tol=1e-9) for k, v in expected.items())
