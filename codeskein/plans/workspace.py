@@ -10,6 +10,7 @@ from codeskein.functions.paths import base_name, common_directories, framework_f
 from codeskein.operators import incremental as inc
 from codeskein.operators.closure import closure
 from codeskein.relations import NEWEST_SQL, RAW_SQL, SYM_SQL, Relations
+from codeskein.session import materialize
 
 CUTOFF = "2025-06-01 00:00:00"
 
@@ -135,6 +136,13 @@ def includes(rel: Relations) -> DataFrame:
     return met.groupBy("path", "include").agg(F.max_by("target", F.struct("shared", F.lit(0))).alias("any"), F.max("shared").alias("shared"), F.min_by("target", F.struct(-F.col("shared"), F.col("target"))).alias("target")).drop("any")
 
 
+def include_closure(rel: Relations) -> DataFrame:
+    """Files reached by quoted includes from the file that includes most, with the number of steps."""
+    links = materialize(includes(rel).select(F.col("path").alias("src"), F.col("target").alias("dst")))
+    first = links.groupBy("src").count().orderBy(F.desc("count"), "src").first()
+    return closure(rel.spark.createDataFrame([(first["src"] if first else "",)], "node string"), links, 64)
+
+
 def unique_names(rel: Relations) -> DataFrame:
     """File names that stand for exactly one path."""
     return rel.newest_sources.groupBy(base_name(F.col("path")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n = 1").select("name", "path")
@@ -247,6 +255,7 @@ _CALLS: dict[str, tuple] = {
             s AS (SELECT path, include, target, CAST(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k])) AS INTEGER) AS shared FROM m)
             SELECT path, include, target, shared FROM s QUALIFY row_number() OVER (PARTITION BY path, include ORDER BY shared DESC, target) = 1""",
     ),
+    "include_closure": (include_closure, None),
     "unique_file_names": (unique_names, f"WITH {NEWEST_SQL} SELECT regexp_extract(path, '([^/\\\\]*)$', 1) AS name, min(path) AS path FROM newest GROUP BY 1 HAVING count(*) = 1"),
     "simplify_parameters": (
         simplified_ids,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -54,29 +55,62 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def _shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back: computed once, it outlives executors."""
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: computed once, it outlives executors.
+
+    The tables of a context stay until ``drop_tables`` or until the folder is cleared, as results may still read them.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote in this context; results that read them can't be used after."""
+    fs, at = _file_system(spark, f"{_shared_folder(spark)}/table-*")
+    for found in fs.globStatus(at) or []:
+        fs.delete(found.getPath(), True)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per context, through Spark's own file server."""
+    """Give this package to the executors' Python workers, once per context.
+
+    The archive goes to the shared folder the cluster names; a local JVM, and a cluster without such a folder, get it
+    from the driver through Spark's own file server.
+    """
     context = spark.sparkContext
     if getattr(context, "_codeskein_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="codeskein-package-")) / "codeskein.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*")):
             if f.is_file() and f.suffix != ".pyc":
                 z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(target))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        target = f"{shared.rstrip('/')}/package-{uuid.uuid4().hex}/codeskein.zip"
+        fs, at = _file_system(spark, target)
+        out = fs.create(at)
+        out.write(packed.getvalue())
+        out.close()
+    else:
+        target = str(Path(tempfile.mkdtemp(prefix="codeskein-package-")) / "codeskein.zip")
+        Path(target).write_bytes(packed.getvalue())
+    context.addPyFile(target)
     context._codeskein_shipped = True
