@@ -65,12 +65,14 @@ def bm25(rel: Relations, queries: DataFrame, percentiles: DataFrame | None = Non
     length = lengths(index)
     n, mean = length.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg("length"))).first()
     holders = document_frequencies(index)
-    asked = completions(query_terms(queries), holders).join(holders, "term")
+    asked = materialize(query_terms(queries))
+    words = asked.select(F.col("term").alias("query"), "term").distinct()
+    spelled = completions(words, holders).join(holders, "term")
     idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    hits = index.join(asked, "term").join(length, "node")
     tf = F.col("frequency") * (K1 + 1) / (F.col("frequency") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
-    best = hits.select("query", "node", "asked", (F.col("factor") * idf * tf).alias("part")).groupBy("query", "node", "asked").agg(F.max("part").alias("part"))
-    scores = best.groupBy("query", "node").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
+    # what an asked word is worth in a symbol doesn't depend on the query: it is worked out once for all queries
+    worth = index.join(spelled, "term").join(length, "node").groupBy("asked", "node").agg(F.max(F.col("factor") * idf * tf).alias("part"))
+    scores = asked.withColumnRenamed("term", "asked").join(worth, "asked").groupBy("query", "node").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
     boosted = scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name", "file"), "node")
     weight = F.when(is_test(F.col("file")), TEST_WEIGHT).otherwise(1.0) * F.when(F.lower("name") == F.lower(F.regexp_replace("query", r"\s+", "")), NAME_BOOST).otherwise(1.0)
     if percentiles is not None:
