@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -13,30 +14,33 @@ from codeskein.operators.skew import HeavyKeys, heavy_keys, skew_join
 from codeskein.session import materialize
 
 DAMPING, ITERATIONS, CONTAINER_WEIGHT = 0.85, 40, 0.5
-#: Levels after which the rank's lineage is cut.
+#: Levels after which the lineage of a rank or a closure is cut.
 CUT_EVERY = 8
 #: Links up to which one task ranks them with arrays; more are ranked by distributed rounds, with the same result.
 ONE_TASK_LINKS = 2_000_000
 
 
-def closure(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
+def closure(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` (node) along ``links`` (src, dst): node, depth, the seeds at depth 0.
 
-    Every level joins the frontier to the links, removes what was visited and is written to the shared folder, so
-    the plan doesn't grow; the loop ends at an empty frontier. Links of a source that holds very many are joined
-    by broadcasting the frontier's few such nodes.
+    Every level joins the frontier to the links, removes what was visited and is written to the shared folder, and
+    what was visited is written together every CUT_EVERY levels, so the plan doesn't grow; the loop ends at an empty
+    frontier, which every finite graph reaches as no node is visited twice, or at ``max_depth``. Links of a source
+    that holds very many are joined by broadcasting the frontier's few such nodes.
     """
     links = links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     heavy: HeavyKeys = heavy_keys(links, "src")
     frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = skew_join(links, frontier.select(F.col("node").alias("src")), "src", "inner", heavy)
         found = step.select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
         frontier = materialize(found.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if depth % CUT_EVERY == 0:
+            visited = materialize(visited)
     return visited
 
 

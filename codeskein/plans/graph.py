@@ -44,16 +44,16 @@ def _walk_sql(seed: str, links: str, depth: int) -> str:
 
 def bases(rel: Relations) -> DataFrame:
     """All bases and interfaces of the type with most derived edges going out, nearest first."""
-    return closure(_one(rel.spark, _most(rel, "from_node", HIERARCHY_KINDS)), _links(rel, HIERARCHY_KINDS), 6).where("depth > 0")
+    return closure(_one(rel.spark, _most(rel, "from_node", HIERARCHY_KINDS)), _links(rel, HIERARCHY_KINDS)).where("depth > 0")
 
 
 def derived(rel: Relations) -> DataFrame:
-    return closure(_one(rel.spark, _most(rel, "to_node", HIERARCHY_KINDS)), _links(rel, HIERARCHY_KINDS, reverse=True), 6).where("depth > 0")
+    return closure(_one(rel.spark, _most(rel, "to_node", HIERARCHY_KINDS)), _links(rel, HIERARCHY_KINDS, reverse=True)).where("depth > 0")
 
 
 def implementations(rel: Relations) -> DataFrame:
     """Everything that derives from, implements or overrides a symbol, with the relation of the last step."""
-    reached = closure(_one(rel.spark, _most(rel, "to_node", STRUCTURAL_KINDS)), _links(rel, STRUCTURAL_KINDS, reverse=True), 4)
+    reached = closure(_one(rel.spark, _most(rel, "to_node", STRUCTURAL_KINDS)), _links(rel, STRUCTURAL_KINDS, reverse=True))
     above = reached.select(F.col("node").alias("to_node"), (F.col("depth") + 1).alias("depth"))
     steps = rel.edges.where(F.col("edge_kind").isin(*STRUCTURAL_KINDS)).join(above, "to_node").select(F.col("from_node").alias("node"), "depth", "edge_kind")
     return reached.where("depth > 0").join(steps, ["node", "depth"]).groupBy("node", "depth").agg(F.min("edge_kind").alias("relation"))
@@ -61,13 +61,13 @@ def implementations(rel: Relations) -> DataFrame:
 
 def called_as(rel: Relations) -> DataFrame:
     """Members through which a member may be called: what it overrides or implements, upwards."""
-    return closure(_one(rel.spark, _most(rel, "from_node", DISPATCH_KINDS)), _links(rel, DISPATCH_KINDS), 6)
+    return closure(_one(rel.spark, _most(rel, "from_node", DISPATCH_KINDS)), _links(rel, DISPATCH_KINDS))
 
 
 def family_references(rel: Relations) -> DataFrame:
     """References to a member or to any member of its family: those it can be called as and what implements them."""
     up = called_as(rel)
-    family = closure(up.select("node"), _links(rel, DISPATCH_KINDS, reverse=True), 6).select("node")
+    family = closure(up.select("node"), _links(rel, DISPATCH_KINDS, reverse=True)).select("node")
     refs = rel.references.join(family.withColumnRenamed("node", "to_node"), "to_node", "left_semi")
     return refs.groupBy("to_node").agg(F.count(F.when(certain(F.col("confidence")), 1)).alias("reference_count"), F.count(F.when(~certain(F.col("confidence")), 1)).alias("name_only"))
 
@@ -76,7 +76,7 @@ def inherited_members(rel: Relations) -> DataFrame:
     """Members of a type and of its bases with the depth of the declaring type; 32 nearest types at most."""
     types = rel.symbols.where(is_type(F.col("kind"))).select(F.col("seq").alias("node"), F.col("id").alias("container_id"))
     first = rel.edges.where(F.col("edge_kind").isin(*HIERARCHY_KINDS)).join(types.withColumnRenamed("node", "from_node"), "from_node", "left_semi").groupBy("from_node").count().orderBy(F.desc("count"), "from_node").first()
-    reached = closure(_one(rel.spark, first[0] if first else -1), _links(rel, HIERARCHY_KINDS), 6).join(types, "node")
+    reached = closure(_one(rel.spark, first[0] if first else -1), _links(rel, HIERARCHY_KINDS)).join(types, "node")
     near = reached.orderBy("depth", "node").limit(32)
     return near.join(rel.symbols.select("container_id", "id", "kind"), "container_id").select("container_id", "depth", "id", "kind")
 

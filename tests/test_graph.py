@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from codeskein.operators import closure as closures
 from codeskein.operators.closure import closure, pagerank
 from codeskein.operators.communities import louvain, synchronous_communities
+from codeskein.plans import graph
 from codeskein.plans.graph import percentile
 
 
@@ -48,3 +50,30 @@ def test_louvain_finds_two_cliques(spark):
     spread = {r["node"]: r["community"] for r in synchronous_communities(links).collect()}
     assert set(spread) == set(range(6)) and len(set(spread.values())) < 6
     assert links.agg(F.sum("weight")).first()[0] == 7
+
+
+def test_registered_closures_run_to_the_end_of_deep_chains(spark):
+    """Chains of eleven steps that close to a ring, compared with a walk without a bound."""
+    ring, side = [(i, (i + 1) % 12) for i in range(12)], [(0, 20), (0, 21), (30, 0), (31, 0)]
+    pairs = ring + side
+    edges = spark.createDataFrame([(a, b, kind, 1, 0) for a, b in pairs for kind in ("Inherits", "Overrides")], "from_node long, to_node long, edge_kind string, edge_count long, confidence int")
+    nodes = sorted({n for p in pairs for n in p})
+    symbols = spark.createDataFrame([(n, f"T{n}", "Class", None) for n in nodes] + [(100 + n, f"M{n}", "Method", f"T{n}") for n in nodes], "seq long, id string, kind string, container_id string")
+    rel = SimpleNamespace(spark=spark, edges=edges, references=edges, symbols=symbols)
+
+    def walk(seeds, links):
+        depth, frontier = dict.fromkeys(seeds, 0), set(seeds)
+        while frontier:
+            frontier = {b for a, b in links if a in frontier and b not in depth}
+            depth.update(dict.fromkeys(frontier, max(depth.values()) + 1))
+        return depth
+
+    up, down = walk([0], pairs), walk([0], [(b, a) for a, b in pairs])
+    family = walk(up, [(b, a) for a, b in pairs])
+    assert max(up.values()) == max(down.values()) == 11
+    got = lambda df: {r["node"]: r["depth"] for r in df.collect()}
+    assert got(graph.bases(rel)) == {n: d for n, d in up.items() if d}
+    assert got(graph.derived(rel)) == got(graph.implementations(rel)) == {n: d for n, d in down.items() if d}
+    assert got(graph.called_as(rel)) == up
+    assert {r["to_node"] for r in graph.family_references(rel).collect()} == {b for a, b in pairs if b in family}
+    assert {r["container_id"]: r["depth"] for r in graph.inherited_members(rel).collect()} == {f"T{n}": d for n, d in up.items()}
