@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeskein.relations import Relations, certain, is_type
+from codeskein.session import materialize
 
 LEVELS, PASSES, LEAST_GAIN = 20, 50, 1e-12
-#: Links up to which one task runs the sequential method; larger graphs take synchronous rounds.
-SEQUENTIAL_LINKS = 2_000_000
-ROUNDS = 12
+#: Links up to which one task runs a level by arrays; larger levels are run by joins, with the same result.
+ONE_TASK_LINKS = 2_000_000
+#: Rounds between two looks at modularity, the least rise with which they go on, and the least gain of a move.
+ROUNDS, LEAST_RISE, LEAST_STEP = 4, 1e-6, 1e-6
+#: Weights are counted in parts of this size.
+WEIGHT_SCALE = 2.0**20
 
 
 def weighted_edges(rel: Relations) -> DataFrame:
@@ -54,7 +59,7 @@ def type_links(rel: Relations) -> DataFrame:
 
 
 def louvain(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
-    """Communities of an undirected weighted graph: nodes in ascending order move to the neighbouring community of
+    """Communities by visits one after another, to compare with: nodes in ascending order move to the neighbouring community of
     greatest gain until none improves, then communities become nodes; numbered by size, the largest 0."""
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
     member = {n: i for i, n in enumerate(nodes)}
@@ -110,40 +115,134 @@ def louvain(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dic
     return {n: order[group[i]] for n, i in member.items()}
 
 
+def _turn(node, k: int):
+    """Whether a node (a number, an array or a column) may move in round ``k``: half of the nodes, others each time."""
+    mixed = (node % 2147483648 * 2654435761 + (k + 1) * 2654445111) % 4294967296
+    return (F.floor(mixed / 65536) if isinstance(node, Column) else mixed // 65536) % 2 == 0
+
+
+def _array_level(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One level by arrays: the place of the community of each node; ``own`` has the weight inside each node."""
+    n = len(nodes)
+    i, j, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    degree = np.bincount(i, w, n) + 2 * own
+    total, inside = degree.sum(), 2 * own.sum()
+
+    def quality(home: np.ndarray) -> float:
+        size = np.bincount(home, degree, n)
+        return (w[home[i] == home[j]].sum() + inside) / total - (size * size).sum() / (total * total)
+
+    home = best = np.arange(n)
+    most, k = quality(home), 0
+    while True:
+        for _ in range(ROUNDS):
+            turn = _turn(nodes, k)[i]
+            k += 1
+            key, which = np.unique(i[turn] * n + home[j[turn]], return_inverse=True)
+            towards, node, to = np.bincount(which, w[turn], len(key)), key // n, key % n
+            size, members, old = np.bincount(home, degree, n), np.bincount(home, minlength=n), home[node]
+            stay = np.zeros(n)
+            stay[node[to == old]] = towards[to == old]
+            stay -= (size[home] - degree) * degree / total
+            gain = towards - size[to] * degree[node] / total
+            ok = (to != old) & ~((members[old] == 1) & (members[to] == 1) & (to > old)) & (gain > stay[node] + LEAST_STEP)
+            order = np.lexsort((to[ok], -gain[ok], node[ok]))
+            node, to = node[ok][order], to[ok][order]
+            first = np.ones(len(node), bool)
+            first[1:] = node[1:] != node[:-1]
+            home = home.copy()
+            home[node[first]] = to[first]
+        now = quality(home)
+        if now > most:
+            best = home
+        if now <= most + LEAST_RISE:
+            return best
+        most = now
+
+
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    edges = [e for pdf in batches for e in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["weight"].tolist())]
-    if edges:
-        found = louvain(sorted(edges))
-        yield pd.DataFrame({"node": list(found), "community": list(found.values())})
+    """All levels by arrays: node, community (the node it is named by)."""
+    rows = pd.concat(list(batches))
+    if rows.empty:
+        return
+    x, y, w = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["weight"].to_numpy(float)
+    nodes = start = np.unique(np.concatenate([x, y]))
+    at = np.arange(len(nodes))
+    a, b = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
+    while True:
+        n, same = len(nodes), a == b
+        own = np.bincount(a[same], w[same], n)
+        home = _array_level(nodes, a[~same], b[~same], w[~same], own)
+        kept, place = np.unique(home, return_inverse=True)
+        if len(kept) == n:
+            break
+        at, nodes = place[at], nodes[kept]
+        low, high = np.minimum(place[a], place[b]), np.maximum(place[a], place[b])
+        key, which = np.unique(low * len(kept) + high, return_inverse=True)
+        a, b, w = key // len(kept), key % len(kept), np.bincount(which, w, len(key))
+    yield pd.DataFrame({"node": start, "community": nodes[at]})
 
 
 def louvain_communities(links: DataFrame) -> DataFrame:
-    """node, community. The method visits nodes one after another, so up to SEQUENTIAL_LINKS links it runs in one
-    task; their number is counted first. A larger graph is partitioned by rounds in which every node takes the
-    label with the greatest gain among its neighbours' (halves of the nodes take turns), which is distributed but
-    may find other communities."""
-    n = links.limit(SEQUENTIAL_LINKS + 1).count()
-    if n <= SEQUENTIAL_LINKS:
-        return links.coalesce(1).mapInPandas(_run, "node long, community long")
-    return synchronous_communities(links)
-
-
-def synchronous_communities(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    from codeskein.session import materialize
-
-    both = materialize(links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    degree = both.groupBy("a").agg(F.sum("weight").alias("degree"))
-    total = degree.agg(F.sum("degree")).first()[0] or 1.0
-    state = materialize(degree.select(F.col("a").alias("node"), "degree", F.col("a").alias("community")))
-    for k in range(rounds):
-        sizes = state.groupBy("community").agg(F.sum("degree").alias("weight_of"))
-        near = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("towards"))
-        gains = near.join(sizes, "community").join(state.select("node", "degree", F.col("community").alias("old")), "node")
-        own = F.when(F.col("community") == F.col("old"), F.col("degree")).otherwise(0)
-        gains = gains.withColumn("gain", F.col("towards") - (F.col("weight_of") - own) * F.col("degree") / total)
-        best = gains.groupBy("node").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        state = materialize(state.join(best, "node", "left").select("node", "degree", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")))
+    """node, community. Rounds in which half of the nodes move to the neighbouring community of greatest gain are
+    repeated until modularity rises no more, then communities become nodes, until nothing is folded. A level of up to
+    ONE_TASK_LINKS links runs by arrays in one task, after counting, a larger one by joins, with the same result. The
+    numbers are by size, the largest 0."""
+    return synchronous_communities(links, ONE_TASK_LINKS)
+
+
+def synchronous_communities(links: DataFrame, one_task_links: int = 0) -> DataFrame:
+    # whole weights, so that sums don't depend on their order
+    links = materialize(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.sum("weight") * WEIGHT_SCALE).alias("weight")))
+    found = None
+    while True:
+        if links.limit(one_task_links + 1).count() <= one_task_links:
+            level, more = materialize(links.coalesce(1).mapInPandas(_run, "node long, community long")), False
+        else:
+            level = _joined_level(links)
+            more = level.where("node <> community").limit(1).count() > 0
+        found = level if found is None else materialize(found.join(level.select(F.col("node").alias("community"), F.col("community").alias("above")), "community").select("node", F.col("above").alias("community")))
+        if not more:
+            break
+        ends = links.join(level.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(level.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
+        links = materialize(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
     order = Window.orderBy(F.desc("size"), "community")
-    numbers = state.groupBy("community").agg(F.count(F.lit(1)).alias("size")).withColumn("number", F.row_number().over(order) - 1)
-    return state.join(numbers, "community").select("node", F.col("number").cast("long").alias("community"))
+    numbers = found.groupBy("community").agg(F.count(F.lit(1)).alias("size")).withColumn("number", F.row_number().over(order) - 1)
+    return found.join(numbers, "community").select("node", F.col("number").cast("long").alias("community"))
+
+
+def _joined_level(links: DataFrame) -> DataFrame:
+    """One level by joins: node, community; what _array_level gives."""
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))  # what is inside a node counts twice
+    both = materialize(ways.where("a <> b"))
+    state = materialize(ways.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")).withColumn("community", F.col("node")))
+    total = state.agg(F.sum("degree")).first()[0] or 1.0
+
+    def quality(state: DataFrame) -> float:
+        home = state.select("node", "community")
+        near = ways.join(home.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(home.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
+        inside = near.where("x = y").agg(F.sum("weight")).first()[0] or 0.0
+        squares = state.groupBy("community").agg(F.sum("degree").alias("size")).agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0.0
+        return inside / total - squares / (total * total)
+
+    best, most, k = state, quality(state), 0
+    while True:
+        for _ in range(ROUNDS):
+            sizes = state.groupBy("community").agg(F.sum("degree").alias("size"), F.count(F.lit(1)).alias("members"))
+            near = both.where(_turn(F.col("a"), k)).join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("towards"))
+            k += 1
+            own = state.withColumnRenamed("community", "old").join(sizes.select(F.col("community").alias("old"), F.col("size").alias("old_size"), F.col("members").alias("old_members")), "old")
+            near = near.join(sizes, "community").join(own, "node")
+            other = F.col("community") != F.col("old")
+            may = other & ~((F.col("old_members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("old")))
+            gain = F.col("towards") - F.col("size") * F.col("degree") / total
+            stay = F.coalesce(F.max(F.when(~other, F.col("towards"))), F.lit(0.0)) - (F.first("old_size") - F.first("degree")) * F.first("degree") / total
+            moves = near.groupBy("node").agg(F.max(F.when(may, F.struct(gain.alias("gain"), (-F.col("community")).alias("to")))).alias("x"), stay.alias("stay"))
+            moves = moves.where(F.col("x.gain") > F.col("stay") + LEAST_STEP).select("node", (-F.col("x.to")).alias("to"))
+            state = materialize(state.join(moves, "node", "left").select("node", "degree", F.coalesce("to", "community").alias("community")))
+        now = quality(state)
+        if now > most:
+            best = state
+        if now <= most + LEAST_RISE:
+            return best.select("node", "community")
+        most = now

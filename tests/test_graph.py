@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeskein.operators import closure as closures
 from codeskein.operators.closure import closure, pagerank
-from codeskein.operators.communities import louvain, synchronous_communities
+from codeskein.operators.communities import louvain, louvain_communities, synchronous_communities
 from codeskein.plans import graph
 from codeskein.plans.graph import percentile
 
@@ -77,3 +77,24 @@ def test_registered_closures_run_to_the_end_of_deep_chains(spark):
     assert got(graph.called_as(rel)) == up
     assert {r["to_node"] for r in graph.family_references(rel).collect()} == {b for a, b in pairs if b in family}
     assert {r["container_id"]: r["depth"] for r in graph.inherited_members(rel).collect()} == {f"T{n}": d for n, d in up.items()}
+
+
+def test_communities_are_the_same_by_joins_and_by_arrays_and_as_good_as_sequential_ones(spark):
+    rng = random.Random(5)
+    pairs = {(min(a, b), max(a, b)) for a in range(60) for b in rng.sample(range(a // 10 * 10, a // 10 * 10 + 10), 4) + [rng.randrange(60)] if a != b}
+    edges = [(a, b, 1 + rng.random()) for a, b in sorted(pairs)]
+    links = spark.createDataFrame(edges, "a long, b long, weight double")
+
+    def quality(home):
+        total, inside, degree = 0.0, 0.0, {}
+        for a, b, w in edges:
+            total += 2 * w
+            inside += 2 * w * (home[a] == home[b])
+            for n in (a, b):
+                degree[home[n]] = degree.get(home[n], 0.0) + w
+        return inside / total - sum(d * d for d in degree.values()) / total**2
+
+    arrays = {r["node"]: r["community"] for r in louvain_communities(links).collect()}
+    joins = {r["node"]: r["community"] for r in synchronous_communities(links).collect()}
+    assert arrays == joins and set(arrays) == set(range(60))
+    assert quality(arrays) > 0.97 * quality(louvain(edges))
