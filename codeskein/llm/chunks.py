@@ -1,7 +1,8 @@
 """Cutting oversized texts at natural boundaries by pointer doubling.
 
-A text's cut points are its line starts; inside lines longer than an eighth of the limit also the ends of white
-space, and, where those are far apart, places every sixteenth of the limit. Every cut point is joined to its
+A text's cut points are its line starts; inside lines longer than an eighth of the limit or than the overlap also the
+ends of white space, and, where those are far apart, places every sixteenth of the limit or nearer, so that an overlap
+never lacks a place to start. Every cut point is joined to its
 farthest legal successor: the end of the longest piece that may start there, stepped back by the overlap. The
 successor table is squared until it is idempotent, and the reach of the first cut point under its powers is the
 whole greedy cutting; all texts of a batch are derived in the same array operations.
@@ -25,11 +26,13 @@ _LINE = re.compile(r"\r\n|\n|\r")
 _SPACE = re.compile(r"[ \t\f\v]+")
 
 
-def cut_points(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of all legal cuts, 0 and the end among them, and their kinds."""
+def cut_points(text: str, limit: int, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all legal cuts, 0 and the end among them, and their kinds; ``overlap`` is a tenth of the limit if not given."""
     best: dict[int, int] = {0: BLOCK, len(text): BLOCK}
     start, indent_before, blank_before = 0, 0, True
     long_line, stride = max(1, limit // 8), max(1, limit // 16)
+    if overlap := limit // 10 if overlap is None else overlap:
+        long_line, stride = min(long_line, overlap), min(stride, max(1, overlap - 1))
     ends = [m.end() for m in _LINE.finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
@@ -116,7 +119,7 @@ def reach(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
 def _pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     ats, ends, nexts, owners, base, roots = [], [], [], [], 0, []
     for i, (text, limit, overlap) in enumerate(zip(pdf["text"], pdf["limit_chars"], pdf["overlap_chars"])):
-        at, kind = cut_points(text, limit)
+        at, kind = cut_points(text, limit, overlap)
         end, following = successor_tables(at, kind, limit, overlap)
         ats.append(at)
         ends.append(end + base)

@@ -58,3 +58,14 @@ def test_rows_of_all_kinds(spark):
     assert split_oversized(spark.createDataFrame([], ITEMS)).count() == 0
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], ITEMS), overlap_share=0.5)
+
+
+@pytest.mark.parametrize("limit,overlap", [(1000, 100), (1000, 20), (40, 2), (16000, 1600)])
+@pytest.mark.parametrize("share", [0.03, 0.11, 0.125, 0.3])
+def test_pieces_always_share_something(limit, overlap, share):
+    line = ("word " * limit)[: max(1, int(limit * share)) - 2]
+    for end in ("\n", "\r\n"):
+        text = (line + end) * 60
+        out = _pieces(pd.DataFrame([(1, text, limit, overlap, 5)], columns=["item_id", "text", "limit_chars", "overlap_chars", "first_line"]))
+        assert len(out) > 1 and (out["overlap_before"][1:] > 0).all() and out["overlap_before"].max() <= overlap
+        assert out["n_chars"].max() <= limit and out["start"].iloc[-1] + out["n_chars"].iloc[-1] == len(text)
