@@ -253,6 +253,65 @@ def _branches(kinds: list[str], tokens: list[str], last: bool) -> bool:
     return True
 
 
+def readings(text: str, language: str) -> tuple[list[str], list[list[str]]]:
+    """Tokens, and their kinds in every reading that parses, the one of ``analyse`` first; none if that doesn't.
+
+    Each branch of each conditional directive is in one of the readings: reading r takes the r-th way through every
+    conditional, nested ones within their branch.
+    """
+    tokens, kinds, error = analyse(text, language)
+    if error is not None:
+        return tokens, []
+    out = [kinds]
+    if DROPPED not in kinds:
+        return tokens, out
+    lookup = _KINDS[language]
+    plain = [lookup[t] for t in tokens]
+    if language == "CSharp" and "from" in tokens and "in" in tokens:
+        _query_kinds(plain, tokens)
+    # a part is a list of conditionals, a conditional a list of branches (first token, end, part)
+    root: list = []
+    parts, opened = [root], []
+    for i, t in enumerate(tokens):
+        word = _DIRECTIVE.match(t)[1] if plain[i] == "#" else ""
+        if word.startswith("if") and word in ("if", "ifdef", "ifndef"):
+            parts[-1].append([])
+            opened.append(i)
+            parts.append([])
+        elif word == "endif" or word in ("else", "elif", "elifdef", "elifndef"):
+            parts[-2][-1].append((opened[-1] + 1, i, parts.pop()))
+            if word == "endif":
+                opened.pop()
+            else:
+                opened[-1] = i
+                parts.append([])
+
+    def ways(part: list) -> int:
+        return max((sum(ways(inner) for _, _, inner in branches) for branches in part), default=1)
+
+    def take(part: list, r: int, kinds: list[str]) -> None:
+        for branches in part:
+            left, taken = min(r, sum(ways(inner) for _, _, inner in branches) - 1), False
+            for a, b, inner in branches:
+                n = ways(inner)
+                if not taken and left < n:
+                    take(inner, left, kinds)
+                    taken = True
+                else:
+                    kinds[a:b] = DROPPED * (b - a)
+                left -= n
+
+    for r in range(ways(root)):
+        other = list(plain)
+        for i, k in enumerate(kinds):
+            if plain[i] == "#":
+                other[i] = k
+        take(root, r, other)
+        if other not in out and parser(language).error_at(_folded("".join(other).replace(FOLDED, "").replace(DROPPED, ""), language)) < 0:
+            out.append(other)
+    return tokens, out
+
+
 def _query_kinds(kinds: list[str], tokens: list[str]) -> None:
     inside = False
     for i, t in enumerate(tokens):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeskein.lang.grammars import DROPPED, FOLDED, analyse
+from codeskein.lang.grammars import DROPPED, FOLDED, readings
 from codeskein.llm.syntax import suffix
 
 # File suffixes of the two languages.
@@ -26,6 +26,8 @@ SUFFIXES = {"cs": "CSharp", "c": "Cpp", "cc": "Cpp", "cpp": "Cpp", "cxx": "Cpp",
 _BRACE = re.compile("[{}]")
 _STOP = re.compile("[;{}]")
 _LABELS = re.compile("(?:p[N]?:)+")
+#: What stands before a local function's name: attributes, modifiers, and its result's type.
+_LOCAL = re.compile(r"(?:\[[^;{}]*?\])*[M7]*[N(][N0-9.,?*<>()\[\]]*")
 #: Kinds that a name can have before a lexer's rules settle them.
 _NAMES = frozenset("N0123456789T")
 
@@ -94,13 +96,21 @@ def _header(top: list[tuple[str, int, int]], kinds: str, start: int) -> tuple[in
 
 
 def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int, int, int]]:
-    """(first, name, opening, closing, body, last place) of every function with a body outside other bodies."""
+    """(first, name, opening, closing, body, last place) of every function with a body, those inside other bodies too."""
     sharp = language == "CSharp"
     found, start, pos = [], 0, 0
+    scopes: list[tuple[int, bool]] = []  # closing place of what is open, and whether it is a body
     while m := _STOP.search(kinds, pos):
         p, c = m.start(), m[0]
+        while scopes and scopes[-1][0] < p:
+            scopes.pop()
+        body = bool(scopes) and scopes[-1][1]
         if kinds.count("(", start, p) > kinds.count(")", start, p):
-            pos = (_closing(kinds, p) if c == "{" else p) + 1
+            if c == "{" and body:
+                scopes.append((_closing(kinds, p), True))
+                start = pos = p + 1
+            else:
+                pos = (_closing(kinds, p) if c == "{" else p) + 1
             continue
         if c == "}" or (c == ";" and not sharp):
             start = pos = p + 1
@@ -123,7 +133,7 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
         flat = "".join(k for k, _, _ in top)
         if c == ";":
             arrow = flat.find("A")
-            if arrow > 0 and (head := _header(top[:arrow], kinds, body_from)):
+            if arrow > 0 and (head := _header(top[:arrow], kinds, body_from)) and (not body or _LOCAL.fullmatch(kinds, first, head[0])):
                 found.append((first, *head, top[arrow][1], p))
             start = pos = p + 1
             continue
@@ -134,21 +144,25 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
         else:
             head = None if head and kinds[head[0] - 1 : head[0]] in ("J", "j", "9") else head
             inside = flat in ("S", "L") or "Z" in flat or ("K" in flat and head is None)
-        if inside and "E" not in flat:
-            start = pos = p + 1
-        elif head is None or "E" in flat:
+        if head and body and not (sharp and _LOCAL.fullmatch(kinds, first, head[0])):
+            head = None
+        if "E" in flat:
             start = pos = _closing(kinds, p) + 1
+        elif inside or head is None:
+            scopes.append((_closing(kinds, p), not inside))
+            start = pos = p + 1
         elif not sharp and ":" in kinds[head[2] : p] and kinds[p - 1] in "N>":
             pos = _closing(kinds, p) + 1  # a member's initialiser in braces
         else:
             last = _closing(kinds, p)
             found.append((first, *head, p, last))
-            start = pos = last + 1
+            scopes.append((last, True))
+            start = pos = p + 1
     return found
 
 
-_MARKS = re.compile(r"^[ \t]*(?://[/!]|/\*[*!]+|\*(?!/))<?|\*/[ \t]*$", re.M)
-_DOC = re.compile(r"///(?![/<])|//!(?!<)|/\*\*(?![*/<])|/\*!(?!<)")
+_MARKS = re.compile(r"^[ \t]*(?://[/!]|/\*[*!]+|\*(?!/))(?:<(?![A-Za-z/]))?|\*/[ \t]*$", re.M)
+_DOC = {"Cpp": re.compile(r"///(?![/<])|//!(?!<)|/\*\*(?![*/<])|/\*!(?!<)"), "CSharp": re.compile(r"///(?!/)|//!|/\*\*(?![*/])|/\*!")}  # '<' is a mark of Doxygen
 _UNSAID = re.compile(r"<(param|typeparam|returns|exception|value|permission|example|code|seealso)\b[^>]*?(?:/>|>.*?(?:</\1>|\Z))", re.S | re.I)
 _SUMMARY = re.compile(r"<summary\s*>(.*?)(?:</summary\s*>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"<(?:see|paramref|typeparamref)\b[^>]*?\b(?:cref|name|langword)\s*=\s*[\"'](?:\w:)?([^\"']*)[\"'][^>]*>", re.I)
@@ -252,21 +266,19 @@ def _parameters(tokens: list[str], language: str) -> list[dict]:
     return out
 
 
-def _spans(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
+def _spans(tokens: list[str], kinds: list[str], language: str) -> tuple[list[tuple], list[tuple]]:
     """Documentation comments (end, next token, text) and functions (start, name place, ...), by offsets."""
-    tokens, kinds, error = analyse(text, language)
-    if error is not None:
-        return [], []
+    doc = _DOC[language]
     ends = list(accumulate(map(len, tokens)))
     real = [i for i, k in enumerate(kinds) if k != FOLDED and k != DROPPED]
     comments: list[tuple] = []
     i, n = 0, len(tokens)
     while i < n:
         t = tokens[i]
-        if t[0] == "/" and kinds[i] == FOLDED and _DOC.match(t):
+        if t[0] == "/" and kinds[i] == FOLDED and doc.match(t):
             first = i
             if t[1] == "/":  # line comments in a row are one
-                while i + 2 < n and tokens[i + 1].isspace() and tokens[i + 1].count("\n") == 1 and _DOC.match(tokens[i + 2]) and tokens[i + 2][:2] == "//" and kinds[i + 2] == FOLDED:
+                while i + 2 < n and tokens[i + 1].isspace() and tokens[i + 1].count("\n") == 1 and doc.match(tokens[i + 2]) and tokens[i + 2][:2] == "//" and kinds[i + 2] == FOLDED:
                     i += 2
             follows = i + 1
             while follows < n and (kinds[follows] == DROPPED or tokens[follows].isspace() or tokens[follows][:2] in ("//", "/*") or tokens[follows][0] == "#"):
@@ -335,21 +347,23 @@ _PAIRS = "doc_id long, line_no int, name string, language string, signature stri
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        comments, functions, base, bases = [], [], 0, []
+        comments, functions, base = [], [], 0
         texts, languages, docs = pdf["text"].tolist(), pdf["language"].tolist(), pdf["doc_id"].tolist()
         for d, (text, language) in enumerate(zip(texts, languages)):
-            bases.append(base)
-            found = _spans(text or "", language)
-            comments += [(base + end, base + follows if follows >= 0 else -1, said) for end, follows, said in found[0]]
-            functions += [(base + f[0], d, f) for f in found[1]]
-            base += len(text or "") + 1
+            tokens, ways = readings(text or "", language)
+            for kinds in ways:  # each reading stands as a text of its own
+                found = _spans(tokens, kinds, language)
+                comments += [(base + end, base + follows if follows >= 0 else -1, said) for end, follows, said in found[0]]
+                functions += [(base + f[0], d, f) for f in found[1]]
+                base += len(text or "") + 1
         if not comments or not functions:
             continue
         nearest = np.searchsorted(np.array([c[0] for c in comments]), np.array([f[0] for f in functions]), "right") - 1
-        rows = []
+        rows, seen = [], set()
         for k, (start, d, f) in zip(nearest.tolist(), functions):
-            if k < 0 or comments[k][1] != start:
+            if k < 0 or comments[k][1] != start or (d, f[1]) in seen:
                 continue
+            seen.add((d, f[1]))
             said = description(comments[k][2])
             _, at, name, end, before, inside, generic, after = f
             if says_nothing(said, name.lstrip("~")):
@@ -359,7 +373,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             typed = _spaced(generic) if "<" in generic else ""
             signature = f"{kind + ' ' if kind else ''}{name}{typed}({_spaced(inside)})" + "".join(f" {t}" for t in after if t in ("const", "&&"))
             text = texts[d]
-            rows.append((docs[d], text.count("\n", 0, at) + 1, name, languages[d], signature, parameters, said, text[start - bases[d] : end]))
+            rows.append((docs[d], text.count("\n", 0, at) + 1, name, languages[d], signature, parameters, said, text[f[0] : end]))
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "name", "language", "signature", "parameters", "description", "code"])
 
@@ -369,7 +383,7 @@ def documented_functions(docs: DataFrame) -> DataFrame:
 
     One row per function with a body in the C# and C++ files among ``docs`` (by the suffix of ``path``) that
     parse, whose documentation comment, XML or Doxygen, says something (see ``says_nothing``). line_no is the
-    1-based line of the bare name. Functions inside other functions' bodies are not listed. Null and empty texts,
+    1-based line of the bare name. Functions inside other bodies and in any branch of conditional directives count, each once. Null and empty texts,
     null ids and paths, other files and files that don't parse give none; repeated rows repeat theirs. Other
     columns are ignored. Texts are read in place and not shuffled.
     """

@@ -91,3 +91,56 @@ def test_descriptions():
 def test_empty_table(spark):
     assert rows(spark, [("x.txt", "a")]) == []
     assert documented_functions(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_local_functions_branches_and_tight_comments(spark):
+    sharp = """class A {
+    ///<summary>Counts what is left.</summary>
+    int Tight() {
+        if (x) {
+            /// <summary>Adds the tax to it.</summary>
+            static int Taxed(int a) { return a; }
+            /// <summary>Gives the sum of both.</summary>
+            int Both(int a, int b) => a + b;
+            Run(() => { /** <summary>Lies in a lambda.</summary> */ List<int> Deep(int y) { return null; } });
+        }
+        /// <summary>No function at all.</summary>
+        return new B(1) { C = 2 };
+    }
+#if X
+    /// <summary>Works on the first system.</summary>
+    int First() { return 1; }
+#elif Y
+    #if Z
+    /// <summary>Works on the second system.</summary>
+    int Second() { return 1; }
+    #else
+    /// <summary>Works on the third system.</summary>
+    int Third() { return 1; }
+    #endif
+#else
+    /// <summary>Works on all others.</summary>
+    int Other() { return 1; }
+#endif
+    int P { get {
+        /// <summary>Helps the property out.</summary>
+        int Helper() { return 1; }
+        return Helper(); } }
+}
+"""
+    plus = """///< Trailing mark of a member.
+int f() {
+    if (a) { struct L {
+        /// Compares by weight only.
+        bool operator()(int a, int b) const { return a < b; }
+    }; }
+    /// Says what follows.
+    for (int i = 0; i < 2; i++) { g(i); }
+    return 1;
+}
+"""
+    got = rows(spark, [("a.cs", sharp), ("b.cpp", plus)])
+    assert sorted(r["name"] for r in got if r["doc_id"] == 0) == ["Both", "Deep", "First", "Helper", "Other", "Second", "Taxed", "Third", "Tight"]
+    assert [r["name"] for r in got if r["doc_id"] == 1] == ["operator()"]
+    by = {r["name"]: r for r in got}
+    assert by["Tight"]["description"] == "Counts what is left." and by["Taxed"]["code"] == "static int Taxed(int a) { return a; }"
