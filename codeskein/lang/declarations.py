@@ -90,7 +90,7 @@ class _File:
         start = self.ends[token] - len(text)
         shown = [w for w in words if w not in _ACCESS]
         self.found.append({
-            "kind": kind, "name": text, "namespace": joint.join(spaces), "container": joint.join(spaces + types) if types else None, "signature": " ".join(shown)[:400],
+            "kind": kind, "name": text, "namespace": joint.join(spaces), "container": joint.join(spaces + types) if types else None, "signature": " ".join(shown),
             "accessibility": next((w for w in words if w in _ACCESS), None), "start": start, "stop": self.ends[self.places[last]], **extra,
         })
         return text

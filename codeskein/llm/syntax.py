@@ -27,7 +27,7 @@ def error_of(text: str, language: str) -> tuple[int, int, str] | None:
     if at is None:
         return None
     before = "".join(tokens[:at])
-    return before.count("\n") + 1, len(before) - before.rfind("\n"), tokens[at][:40] if at < len(tokens) else ""
+    return before.count("\n") + 1, len(before) - before.rfind("\n"), tokens[at] if at < len(tokens) else ""
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

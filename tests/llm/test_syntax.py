@@ -38,3 +38,8 @@ def test_empty_tables(spark):
     src, docs = tables(spark)
     assert syntax_errors(src.limit(0), docs).count() == 0 and syntax_errors(src, docs.limit(0)).count() == 0
     assert error_rates(src.limit(0), docs).count() == 0
+
+
+def test_the_token_of_an_error_is_whole():
+    text = '"' + "x" * 100 + '"'
+    assert error_of(f"class A {{ {text} }}", "CSharp")[2] == text

@@ -124,3 +124,9 @@ def test_extraction_is_null_safe(spark):
     symbols = spark.createDataFrame([(f"M:x{i}", "Open", "CSharp") for i in range(30)], "id string, name string, language string")
     refs = name_references(files, symbols).collect()
     assert len(refs) == 20 and {r["candidates"] for r in refs} == {30}
+
+
+def test_signatures_are_whole():
+    many = ", ".join(f"int parameter{i}" for i in range(40))
+    found = [d["signature"] for d in declarations(f"class A {{ void F({many}, int x) {{ }} void F({many}, string x) {{ }} }}", "CSharp") if d["name"] == "F"]
+    assert len(set(found)) == 2 and all("parameter39" in x for x in found)
