@@ -86,12 +86,12 @@ def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def reciprocal_ranks(rel: Relations, limit: int = 20) -> DataFrame:
+def reciprocal_ranks(rel: Relations, percentiles: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """How recorded hits fare in this ranking: mean reciprocal rank and share within the first five, over all
     recorded queries, a query's best recorded hit (highest score, lowest node) being the right answer."""
     hits = rel.table("search_hits").where("query IS NOT NULL AND node IS NOT NULL")
     right = hits.groupBy("query").agg(F.max_by("node", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("node"))).alias("node"))
-    ranked = top_hits(bm25(rel, right), limit).select("query", "node", "place")
+    ranked = top_hits(bm25(rel, right, percentiles), limit).select("query", "node", "place")
     met = right.join(ranked, ["query", "node"], "left")
     return met.agg(F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("place") <= 5, 1.0).otherwise(0.0)), 6).alias("hit_at_5"), F.count(F.lit(1)).alias("queries"))
 

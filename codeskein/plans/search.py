@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeskein.functions.text import STOP_WORDS, parts, stem, terms, words
 from codeskein.operators import search
+from codeskein.plans.graph import rank_percentile
 from codeskein.relations import SYM_SQL, Relations
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
@@ -78,6 +79,11 @@ def prefixes(rel: Relations) -> DataFrame:
     return search.completions(search.query_terms(queries_asked(rel)), search.document_frequencies(search.postings(rel))).groupBy("query").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("factor"), 6).alias("factors"))
 
 
+def search_quality(rel: Relations) -> DataFrame:
+    """The quality of the ranking with the boost by centrality."""
+    return search.reciprocal_ranks(rel, rank_percentile(rel).select("node", "percentile"))
+
+
 _CALLS: dict[str, tuple] = {
     "tokenize": (tokenized, f"WITH {SYM_SQL} SELECT seq, term, count(*) AS n FROM {_terms_sql('sym', 'seq', 'signature')} GROUP BY ALL"),
     "stem": (
@@ -92,7 +98,7 @@ _CALLS: dict[str, tuple] = {
         lambda r: search.top_hits(search.bm25(r, queries_asked(r)), 5).select("query", "place", "score"),
         f"WITH {_SCORE_SQL} SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place, score FROM boosted QUALIFY place <= 5",
     ),
-    "search_quality": (search.reciprocal_ranks, None),
+    "search_quality": (search_quality, None),
 }
 
 QUERIES = {name: (lambda spark, folder, f=f: f(Relations(spark, folder))) for name, (f, _) in _CALLS.items()}
