@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 from codeskein.llm import bins
-from codeskein.llm.bins import crossover, evolve, fill_containers, fitness
+from codeskein.llm.bins import crossover, evolve, fewest_bins, fill_containers, first_packing, worth
 
 SIZED, KINDS = "doc_id long, tokens long, bin string, piece string", "container_kind int, capacity_tokens int"
 
@@ -18,21 +18,42 @@ def test_crossover_keeps_every_item_once_and_capacity():
         a = child
 
 
-def test_evolution_finds_a_perfect_packing_and_never_gets_worse():
-    rng = random.Random(3)
+def triplets(count, cap, rng):
+    """Sizes that fill ``count`` bins by threes without a rest."""
     sizes = []
-    for _ in range(12):  # twelve bins of exactly 100
-        left = 100
-        while left > 25:
-            x = rng.randint(8, 40)
-            sizes.append(min(x, left))
-            left -= sizes[-1]
-        if left:
-            sizes.append(left)
+    for _ in range(count):
+        a = rng.randint(cap * 38 // 100, cap * 49 // 100)
+        b = rng.randint((cap - a) * 42 // 100, (cap - a) // 2)
+        sizes += [a, b, cap - a - b]
     rng.shuffle(sizes)
-    first = evolve(sizes, 100, [], random.Random(0), 0)[0]
-    later = evolve(sizes, 100, [], random.Random(0), 60)[0]
-    assert fitness(later, sizes, 100) >= fitness(first, sizes, 100) and len(later) <= 13
+    return sizes
+
+
+def test_evolution_uses_fewer_bins_than_best_fit():
+    for seed in range(3):
+        sizes = triplets(60, 512, random.Random(seed))
+        plain = len(first_packing(sizes, 512, random.Random(0)))
+        evolved = evolve(sizes, 512, [], random.Random(0), 20)[0]
+        assert 60 <= len(evolved) <= plain - 4
+        assert sorted(i for x in evolved for i in x) == list(range(180)) and all(sum(sizes[i] for i in x) <= 512 for x in evolved)
+    rng = random.Random(9)
+    uniform = [rng.randint(100, 260) for _ in range(250)]
+    assert len(evolve(uniform, 512, [], rng, 10)[0]) < len(first_packing(uniform, 512, rng))
+
+
+def test_more_generations_never_make_it_worse():
+    sizes = triplets(30, 100, random.Random(4))
+    found = [worth(evolve(sizes, 100, [], random.Random(1), g)[0], sizes, 100) for g in (0, 4, 16)]
+    assert found == sorted(found)
+
+
+def test_the_lower_bound_holds_and_is_met_where_large_items_stand_alone():
+    rng = random.Random(5)
+    for _ in range(200):
+        cap = rng.randint(4, 60)
+        sizes = [rng.randint(0, cap) for _ in range(rng.randint(1, 40))]
+        assert -(-sum(sizes) // cap) <= fewest_bins(sizes, cap) <= len(first_packing(sizes, cap, rng))
+    assert fewest_bins([60] * 7, 100) == 7 and fewest_bins([60, 60, 50, 50, 30], 100) == 3
 
 
 def verify(rows, sized, kinds):
