@@ -15,19 +15,18 @@ _LEAD = r"^[ \t]*(?:///?!?|/\*+!?|\*+|\#|;|--|<!--)?[-=*# \t]*"
 _TOOL_LINE = re.compile(
     _LEAD
     + r"""(?:<auto-?\s?generated|@generated\b
-    |(?:warning[:!]?\s+)?(?:this\s+(?:code|file|source(?:\s+file)?|class|module|document)\s+(?:was|is|has\s+been)\s+)?(?:auto(?:matically)?[-\s]?|machine[-\s])?(?:code\s+)?(?:re)?(?:generated|produced|emitted|created)\s+(?:automatically\s+)?(?:by|from|with|using)\s
-    |(?:auto|machine)[-\s]?(?:generated|written)\b|automatically\s+(?:generated|produced|created)
-    |(?:begin|start)\s+of\s+(?:generated|emitted|machine[-\s]written)\b|output\s+of\s+\S+,?\s+(?:version|v\d|from)
+    |(?:warning[:!]?\s+)?(?:this\s+(?:code|file|source(?:\s+file)?|class|module|document)\s+(?:was|is|has\s+been)\s+)?(?:auto(?:matically)?[-\s]?|machine[-\s])?(?:code\s+)?(?:re)?(?:generated|produced)\s+(?:automatically\s+)?(?:by|from|with|using)\s
+    |(?:auto|machine)[-\s]?(?:generated|written)\b|automatically\s+(?:generated|produced|created)|(?:begin|start)\s+of\s+generated\b
     |(?:dieser?\s+\S+\s+(?:wurde|ist)\s+)?(?:automatisch|maschinell)\s+(?:erzeugt|generiert|erstellt)|(?:generado|creado|producido)\s+autom[aá]ticamente|(?:archivo|c[oó]digo)\s+generado)""",
     re.I | re.M | re.X,
 )
+# How copied files name where they come from.
 _FOREIGN_LINE = re.compile(
     _LEAD
     + r"""(?:copyright\s+(?:\(c\)\s*|©\s*)?(?:[\d,\s-]+\s+)?(?:by\s+)?the\s+(\w+)\s+(?:contributors|authors|developers|project|team)
     |(?:imported|copied|taken|adapted|vendored|mirrored|synced)\s+from\s+(?:upstream\s+)?(\w+)
-    |spdx-\S+\s+\S+[:\s]|bundled\s+with\s+this|(?:this\s+is\s+)?a?\s*(?:verbatim|unmodified|local|vendored)\s+copy
-    |lib\w+\s+v?\d+[.\d]*\s*$|\w+\s+v?\d+(?:\.\d+)+\s*(?:\*/)?\s*$|\w+\s+-\s+a\s.*\blibrary\b
-    |.*\b(?:this\s+copy\s+is\s+unmodified|upstream\s+owns\s+(?:the|this)\s+file|obtain\s+the\s+latest\s+(?:copy|version)|download\s+the\s+latest))""",
+    |(?:this\s+is\s+)?a?\s*(?:verbatim|unmodified|vendored)\s+copy
+    |lib\w+\s+v?\d+[.\d]*\s*$|\w+\s+v?\d+(?:\.\d+)+\s*(?:\*/)?\s*$)""",
     re.I | re.M | re.X,
 )
 _NAMESPACE = re.compile(r"^[ \t]*(?:inline[ \t]+)?namespace[ \t]+([^\W\d]\w*)", re.M)

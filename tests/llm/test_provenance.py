@@ -6,43 +6,65 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeskein.llm.evidence import traits
-from codeskein.llm.provenance import COMPATIBLE, LABELS, ROOT, plain_path, source_labels, tree_beliefs
+from codeskein.llm.provenance import COMPATIBLE, LABELS, ROOT, SIBLING, plain_path, source_labels, tree_beliefs
 
 U = ", ".join(f"u{k} double" for k in range(5))
 
 
 def brute(leaves):
-    """Marginals by enumerating all labellings of the directories; directory names without evidence."""
-    dirs = sorted({"/".join(p.split("/")[:n]) for p, _ in leaves for n in range(len(p.split("/")))})
+    """Marginals by enumerating all labellings of directories and sibling groups; names without evidence. leaves: path,
+    log-likelihoods."""
+    above = {}
+    for p, _ in leaves:
+        d = p.rpartition("/")[0]
+        above[d, p.rpartition(".")[2]] = d
+        while d:
+            above[d] = d = d.rpartition("/")[0]
+    inner = ["", *above]
+    group = [(p.rpartition("/")[0], p.rpartition(".")[2]) for p, _ in leaves]
     total = [[0.0] * 5 for _ in leaves]
-    for labels in itertools.product(range(5), repeat=len(dirs)):
-        of = dict(zip(dirs, labels))
-        w = ROOT[of[""]]
-        for d in dirs:
-            if d:
-                w *= COMPATIBLE[of[d.rpartition("/")[0]]][of[d]]
-        sums = [sum(COMPATIBLE[of[p.rpartition("/")[0]]][j] * math.exp(u[j]) for j in range(5)) for p, u in leaves]
+    for labels in itertools.product(range(5), repeat=len(inner)):
+        of = dict(zip(inner, labels))
+        w = ROOT[of[""]] * math.prod(COMPATIBLE[of[up]][of[n]] for n, up in above.items())
+        sums = [sum(SIBLING[of[g]][j] * math.exp(u[j]) for j in range(5)) for g, (_, u) in zip(group, leaves)]
         whole = math.prod(sums)
-        for i, (p, u) in enumerate(leaves):
+        for i, (g, (_, u)) in enumerate(zip(group, leaves)):
             for j in range(5):
-                total[i][j] += w * whole / sums[i] * COMPATIBLE[of[p.rpartition("/")[0]]][j] * math.exp(u[j])
+                total[i][j] += w * whole / sums[i] * SIBLING[of[g]][j] * math.exp(u[j])
     return [[x / sum(t) for x in t] for t in total]
 
 
 def test_beliefs_are_exact_marginals(spark):
     rng = random.Random(1)
-    leaves = [(p, [0.0] + [rng.uniform(-3, 3) for _ in range(4)]) for p in ("x/a.cs", "x/b.cs", "x/y/c.cs", "z/d.cs", "e.cs")]
-    df = spark.createDataFrame([(p, *u) for p, u in leaves], f"path string, {U}")
-    got = {r["path"]: [r[f"b{k}"] for k in range(5)] for r in tree_beliefs(df).collect()}
+    leaves = [(p, [0.0] + [rng.uniform(-3, 3) for _ in range(4)]) for p in ("x/a.cs", "x/b.cs", "x/c.h", "x/y/c.cs", "e.cs")]
+    rows = [(r, p, *u) for r in ("one", "two/three", None) for p, u in leaves]
+    df = spark.createDataFrame(rows, f"repo string, path string, {U}")
+    got = {(r["repo"], r["path"]): [r[f"b{k}"] for k in range(5)] for r in tree_beliefs(df).collect()}
+    assert len(got) == 15
     for (p, _), expected in zip(leaves, brute(leaves)):
-        weights = [math.exp(b - max(got[p])) for b in got[p]]
-        assert [w / sum(weights) for w in weights] == pytest.approx(expected, abs=1e-9)
+        for repo in ("one", "two/three", None):
+            weights = [math.exp(b - max(got[repo, p])) for b in got[repo, p]]
+            assert [w / sum(weights) for w in weights] == pytest.approx(expected, abs=1e-9)
+
+
+def test_neighbours_decide_what_a_file_leaves_open(spark):
+    """The same weak sign is overruled among hand-written siblings and upheld among copied ones or below their
+    directory; the same path in another repository has no part in it."""
+    weak, strong, none = [0.0, -3.0, -6.0, 3.4, -5.0], [0.0, -3.0, -6.0, 9.0, -5.0], [0.0, -3.0, -6.0, -2.5, -5.0]
+    rows = [("a", f"lone/K{i}.cs", *none) for i in range(5)] + [("a", "lone/Weak.cs", *weak)]
+    rows += [("a", f"kin/C{i}.cs", *strong) for i in range(4)] + [("a", "kin/Weak.cs", *weak), ("a", "vendor/Weak.cs", *weak)]
+    rows += [("b", f"kin/K{i}.cs", *none) for i in range(4)] + [("b", "kin/Weak.cs", *weak)]
+    got = tree_beliefs(spark.createDataFrame(rows, f"repo string, path string, {U}")).where(F.col("path").endswith("Weak.cs")).collect()
+    vendored = {(r["repo"], r["path"]) for r in got if r["b3"] > r["b0"]}
+    assert vendored == {("a", "kin/Weak.cs"), ("a", "vendor/Weak.cs")}
 
 
 def test_paths(spark):
-    written = ["./a//b.cs", "a\\b.cs", "a/x/../b.cs", "/a/b.cs", " a/b.cs", "a/./b.cs"]
+    written = ["./a//b.cs", "a\\b.cs", "a/x/../b.cs", "/a/b.cs", " a/b.cs", "a/./b.cs", "a/1/2/3/4/5/6/../../../../../../b.cs"]
     got = spark.createDataFrame([(p,) for p in written], "p string").select(plain_path(F.col("p"))).distinct().collect()
     assert [r[0] for r in got] == ["a/b.cs"]
+    above = spark.createDataFrame([("../a/../../b.cs",), (None,)], "p string").select(plain_path(F.col("p"))).collect()
+    assert [r[0] for r in above] == ["../../b.cs", None]
 
 
 HAND = "using System;\n\nnamespace Mine.App\n{\n    /// <summary>Adds.</summary>\n    class K%d\n    {\n        // why\n        int F(int a) { return a + %d; }\n        void G() { if (x) { Run(); } else { Stop(); } }\n    }\n}\n"
