@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from codeskein.llm.spam import page_curves
 from codeskein.session import read_table
 
-#: Sources that hold pages; anything else in ``source`` is code.
-PAGE_SOURCES = ("docs", "forum", "crawl", "wiki", "notes")
+#: The source that holds code; everything else is pages.
+CODE_SOURCE = "repo"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").where(F.lower(F.trim("source")).isin(*PAGE_SOURCES))
+    return read_table(spark, sf_dir, "documents").where(F.coalesce(F.lower(F.trim("source")), F.lit("")) != CODE_SOURCE)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
