@@ -23,12 +23,12 @@ ONE_TASK_LINKS = 2_000_000
 def closure(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` (node) along ``links`` (src, dst): node, depth, the seeds at depth 0.
 
-    Every level joins the frontier to the links, removes what was visited and is written to the shared folder, and
+    The links are worked out once. Every level joins the frontier to the links, removes what was visited and is written to the shared folder, and
     what was visited is written together every CUT_EVERY levels, so the plan doesn't grow; the loop ends at an empty
     frontier, which every finite graph reaches as no node is visited twice, or at ``max_depth``. Links of a source
     that holds very many are joined by broadcasting the frontier's few such nodes.
     """
-    links = links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    links = materialize(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     heavy: HeavyKeys = heavy_keys(links, "src")
     frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
@@ -44,6 +44,26 @@ def closure(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) ->
     return visited
 
 
+def pairs_closure(links: DataFrame) -> DataFrame:
+    """src, dst: every node and what it reaches in one or more steps along ``links`` (src, dst), itself left out.
+
+    Only pairs found in the last round go on; the loop ends when a round finds none. As many rows come out as there are
+    such pairs: meant for shallow links such as overrides.
+    """
+    links = materialize(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
+    heavy: HeavyKeys = heavy_keys(links, "src")
+    frontier = known = links
+    steps = links.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    for depth in count(1):
+        step = skew_join(steps, frontier.select("src", F.col("dst").alias("at")), "at", "inner", heavy).select("src", F.col("next").alias("dst"))
+        frontier = materialize(step.where("src <> dst").distinct().join(known, ["src", "dst"], "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+        if depth % CUT_EVERY == 0:
+            known = materialize(known)
+
+
 def pagerank(nodes: DataFrame, links: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """node, rank after exactly ``iterations`` rounds; links: src, dst, weight, parallel ones add up.
 

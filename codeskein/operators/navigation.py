@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,11 +72,49 @@ def reference_positions(rel: Relations) -> DataFrame:
     return at.join(rel.symbols.select(F.col("seq").alias("from_node"), "file"), "from_node")
 
 
+#: Lines of a file that are swept together; spans are swept with every stretch they reach into.
+STRETCH = 4096
+
+
+def innermost_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, line, node: the span of ``spans`` (file, node, start, end) that starts last before or at each point (file,
+    line) and is open there; of equal starts the lowest node. Points outside all spans are left out.
+
+    Both are sorted by stretches of STRETCH lines and swept once with a stack of open spans: what has ended by a line is
+    taken from the top of the stack, and never comes back, as lines only rise.
+    """
+    stretches = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH)))
+    opened = spans.where("start < end").select("file", stretches.alias("stretch"), F.col("start").alias("line"), "end", "node")
+    asked = points.where("line IS NOT NULL").select("file", F.floor(F.col("line") / STRETCH).alias("stretch"), "line").distinct()
+    events = opened.unionByName(asked, allowMissingColumns=True).where("file IS NOT NULL")
+    # a stretch begins with the spans that reach into it; a span comes before the points of its line
+    order = ("file", "stretch", "line", F.col("end").isNull(), F.desc("node"))
+    return events.repartition("file", "stretch").sortWithinPartitions(*order).mapInPandas(_sweep, "file string, line long, node long")
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, stack = None, []
+    for pdf in batches:
+        files, lines, nodes = [], [], []
+        for file, stretch, line, end, node in zip(pdf["file"], pdf["stretch"], pdf["line"], pdf["end"].fillna(-1).astype("int64"), pdf["node"].fillna(-1).astype("int64")):
+            if (file, stretch) != at:
+                at, stack = (file, stretch), []
+            if end >= 0:
+                stack.append((end, node))
+                continue
+            while stack and stack[-1][0] <= line:
+                stack.pop()
+            if stack:
+                files.append(file)
+                lines.append(line)
+                nodes.append(stack[-1][1])
+        yield pd.DataFrame({"file": files, "line": lines, "node": nodes})
+
+
 def enclosing_declarations(rel: Relations) -> DataFrame:
     """The innermost declaration around each reference: edge_id, node. Equal starts go to the lowest node."""
-    at, spans = reference_positions(rel).select("edge_id", "file", "line"), declared_spans(rel)
-    inside = at.join(spans, (at.file == spans.file) & (spans.start <= at.line) & (at.line < spans.end))
-    return inside.groupBy("edge_id").agg(F.max_by("node", F.struct("start", -F.col("node"))).alias("node"))
+    at = reference_positions(rel).select("edge_id", "file", "line")
+    return at.join(innermost_spans(at, declared_spans(rel)), ["file", "line"]).select("edge_id", "node")
 
 
 def reference_at_declaration(rel: Relations) -> DataFrame:
@@ -88,10 +128,16 @@ def reference_at_declaration(rel: Relations) -> DataFrame:
 def file_outline(rel: Relations) -> DataFrame:
     """Declarations of every file with their nesting depth: the earlier spans of the file that are still open."""
     spans = declared_spans(rel).groupBy("file", "node").agg(F.min_by(F.struct("start", "end"), F.struct("start", "end")).alias("s")).select("file", "node", "s.*")
-    a, b = spans.alias("a"), spans.alias("b")
-    before = (F.col("b.start") < F.col("a.start")) | ((F.col("b.start") == F.col("a.start")) & (F.col("b.node") < F.col("a.node")))
-    open_spans = a.join(b, (F.col("a.file") == F.col("b.file")) & before & (F.col("b.end") > F.col("a.start")), "left")
-    return open_spans.groupBy(F.col("a.file").alias("file"), F.col("a.node").alias("node"), F.col("a.start").alias("start")).agg(F.count("b.node").alias("depth"))
+    return open_before(spans)
+
+
+def open_before(spans: DataFrame) -> DataFrame:
+    """file, node, start, depth: spans (file, node, start, end) that come before by start and node and are open at the
+    start. All that ends by then has begun before, so it's a running sum of starts and ends."""
+    starts = spans.select("file", F.col("start").alias("line"), F.lit(1).alias("step"), "node", "start")
+    ends = spans.select("file", F.col("end").alias("line"), F.lit(-1).alias("step"), "node", F.lit(None).cast("long").alias("start"))
+    so_far = Window.partitionBy("file").orderBy("line", "step", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return starts.unionByName(ends).withColumn("depth", F.sum("step").over(so_far) - 1).where("start IS NOT NULL").select("file", "node", "start", "depth")
 
 
 def with_caller(rel: Relations, references: DataFrame) -> DataFrame:

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeskein.functions.text import is_test, terms
-from codeskein.relations import Relations
+from codeskein.operators.skew import skew_join
+from codeskein.relations import Relations, is_type
 from codeskein.session import materialize
 
 K1, B = 1.2, 0.75
 COMPLETIONS, COMPLETION_FACTOR, LEAST_PREFIX = 30, 0.4, 3
 TEST_WEIGHT, NAME_BOOST, RANK_BOOST = 0.8, 2.0, 0.5
-#: Weight of a term by the field it stands in.
+#: Weight of a term by the field it stands in; the body is indexed for members, the members' names for types.
 FIELD_WEIGHTS = {"name": 6.0, "container": 2.0, "namespace": 1.0, "signature": 1.0, "documentation": 2.0, "file": 1.0}
+BODY_WEIGHT, MEMBER_WEIGHT = 1.0, 0.5
+#: Scores are rounded to three places, so nodes this close to a limit may still change places.
+ROUNDING = 0.002
+
+
+def bodies(rel: Relations) -> DataFrame:
+    """node, body: the code that was served last for a member."""
+    items = rel.table("context_items").where("node IS NOT NULL AND code IS NOT NULL")
+    newest = items.groupBy("node").agg(F.max_by("code", F.struct("served_at", "item_id")).alias("body"))
+    return rel.symbols.where(~is_type(F.col("kind"))).select(F.col("seq").alias("node")).join(newest, "node")
 
 
 def postings(rel: Relations) -> DataFrame:
@@ -23,8 +34,11 @@ def postings(rel: Relations) -> DataFrame:
     stem_of_file = F.regexp_extract("file", r"([^/\\]+?)(?:\.[^./\\]*)*$", 1)
     rows = rel.symbols.join(owner, "container_id", "left").withColumn("file", stem_of_file).withColumn("documentation", F.coalesce("summary", "documentation"))
     fields = F.array(*[F.struct(terms(F.col(f)).alias("terms"), F.lit(w).alias("weight")) for f, w in FIELD_WEIGHTS.items()])
-    each = rows.select(F.col("seq").alias("node"), F.explode(fields).alias("f")).select("node", F.explode("f.terms").alias("term"), "f.weight")
-    return each.groupBy("node", "term").agg(F.sum("weight").alias("frequency"))
+    own = rows.select(F.col("seq").alias("node"), F.explode(fields).alias("f")).select("node", F.explode("f.terms").alias("term"), "f.weight")
+    body = bodies(rel).select("node", F.explode(terms(F.col("body"))).alias("term"), F.lit(BODY_WEIGHT).alias("weight"))
+    types = rel.symbols.where(is_type(F.col("kind"))).select(F.col("id").alias("container_id"), F.col("seq").alias("node"))
+    members = rel.symbols.join(types, "container_id").select("node", F.explode(terms(F.col("name"))).alias("term"), F.lit(MEMBER_WEIGHT).alias("weight"))
+    return own.unionByName(body).unionByName(members).groupBy("node", "term").agg(F.sum("weight").alias("frequency"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -59,26 +73,70 @@ def completions(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return exact.unionByName(more)
 
 
-def bm25(rel: Relations, queries: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
-    """query, node, score for all queries at once; percentiles (node, percentile) add up to half again."""
+def _squeezed(query: str | Column) -> Column:
+    return F.lower(F.regexp_replace(query, r"\s+", ""))
+
+
+def word_parts(rel: Relations, words: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
+    """asked, node, part: what each asked word (term) adds to the score of each symbol that holds it or a completion.
+
+    It doesn't depend on the query, so it is worked out once for all; the symbol's own weight, lower in tests and raised
+    by the percentile (node, percentile), is in it. A term that many words complete to, or many symbols hold, is joined
+    as a heavy key.
+    """
     index = materialize(postings(rel))
     length = lengths(index)
     n, mean = length.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg("length"))).first()
-    holders = document_frequencies(index)
-    asked = materialize(query_terms(queries))
-    words = asked.select(F.col("term").alias("query"), "term").distinct()
-    spelled = completions(words, holders).join(holders, "term")
-    idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    tf = F.col("frequency") * (K1 + 1) / (F.col("frequency") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
-    # what an asked word is worth in a symbol doesn't depend on the query: it is worked out once for all queries
-    worth = index.join(spelled, "term").join(length, "node").groupBy("asked", "node").agg(F.max(F.col("factor") * idf * tf).alias("part"))
-    scores = asked.withColumnRenamed("term", "asked").join(worth, "asked").groupBy("query", "node").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
-    boosted = scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name", "file"), "node")
-    weight = F.when(is_test(F.col("file")), TEST_WEIGHT).otherwise(1.0) * F.when(F.lower("name") == F.lower(F.regexp_replace("query", r"\s+", "")), NAME_BOOST).otherwise(1.0)
+    holders = materialize(document_frequencies(index))
+    words = words.select("term").distinct()
+    spelled = completions(words.withColumn("query", F.col("term")), holders).select("asked", "term", "factor").join(holders, "term")
+    node_weight = F.when(is_test(F.col("file")), TEST_WEIGHT).otherwise(1.0)
+    nodes = rel.symbols.select(F.col("seq").alias("node"), "file").join(length, "node")
     if percentiles is not None:
-        boosted = boosted.join(percentiles, "node", "left")
-        weight = weight * (1 + RANK_BOOST * F.coalesce("percentile", F.lit(0.0)))
-    return boosted.select("query", "node", "id", "matched", F.bround(F.col("score") * weight, 3).alias("score"))
+        nodes = nodes.join(percentiles, "node", "left")
+        node_weight = node_weight * (1 + RANK_BOOST * F.coalesce("percentile", F.lit(0.0)))
+    index = index.join(nodes.select("node", "length", node_weight.alias("node_weight")), "node")
+    tf = F.col("frequency") * (K1 + 1) / (F.col("frequency") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
+    met = skew_join(spelled, index.select("node", "term", tf.alias("tf"), "node_weight"), "term", "inner")
+    return met.groupBy("asked", "node").agg((F.max(F.col("factor") * idf * F.col("tf")) * F.first("node_weight")).alias("part"))
+
+
+def _scored(rel: Relations, parts: DataFrame) -> DataFrame:
+    """parts: query, node, asked, part. Gives query, node, id, matched (asked words met, sorted) and the rounded score."""
+    scores = parts.groupBy("query", "node").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
+    named = scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name"), "node")
+    boost = F.when(F.lower("name") == _squeezed("query"), NAME_BOOST).otherwise(1.0)
+    return named.select("query", "node", "id", "matched", F.bround(F.col("score") * boost, 3).alias("score"))
+
+
+def bm25(rel: Relations, queries: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
+    """query, node, id, matched, score of every symbol that holds a word of a query: meant for few queries."""
+    asked = materialize(query_terms(queries)).withColumnRenamed("term", "asked")
+    parts = word_parts(rel, asked.select(F.col("asked").alias("term")), percentiles)
+    return _scored(rel, asked.join(parts, "asked"))
+
+
+def bm25_top(rel: Relations, queries: DataFrame, limit: int, percentiles: DataFrame | None = None) -> DataFrame:
+    """query, node, id, matched, score, place: the ``limit`` best of every query, the same as ranking all.
+
+    The limit-th best part of a query's best word is a score that ``limit`` symbols reach. Words whose greatest parts,
+    added up from the least, stay below that can't bring a symbol among them by themselves: only symbols with another
+    word, or with the queried name, are scored, and the common words are looked up for them.
+    """
+    asked = materialize(query_terms(queries).withColumnRenamed("term", "asked"))
+    parts = materialize(word_parts(rel, asked.select(F.col("asked").alias("term")), percentiles))
+    best = parts.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("part")))).where(F.col("n") <= limit)
+    best = best.groupBy("asked").agg(F.max("part").alias("most"), F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached"))
+    by_query = Window.partitionBy("query")
+    ranked = skew_join(asked, best, "asked", "inner").withColumn("reached", F.coalesce(F.max("reached").over(by_query), F.lit(0.0)))
+    ranked = ranked.withColumn("together", F.sum("most").over(by_query.orderBy("most", "asked").rowsBetween(Window.unboundedPreceding, 0)))
+    telling = ranked.where(F.col("together") >= F.col("reached") - ROUNDING).select("query", "asked")
+    found = skew_join(telling, parts.select("asked", "node"), "asked", "inner").select("query", "node")
+    names = rel.symbols.select(F.lower("name").alias("squeezed"), F.col("seq").alias("node"))
+    named = skew_join(asked.select("query", _squeezed("query").alias("squeezed")).distinct(), names, "squeezed", "inner").select("query", "node")
+    candidates = materialize(found.unionByName(named).distinct())
+    return top_hits(_scored(rel, candidates.join(asked, "query").join(parts, ["asked", "node"])), limit)
 
 
 def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:
@@ -86,13 +144,10 @@ def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def reciprocal_ranks(rel: Relations, percentiles: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """How recorded hits fare in this ranking: mean reciprocal rank and share within the first five, over all
-    recorded queries, a query's best recorded hit (highest score, lowest node) being the right answer."""
-    hits = rel.table("search_hits").where("query IS NOT NULL AND node IS NOT NULL")
-    right = hits.groupBy("query").agg(F.max_by("node", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("node"))).alias("node"))
-    ranked = top_hits(bm25(rel, right, percentiles), limit).select("query", "node", "place")
-    met = right.join(ranked, ["query", "node"], "left")
-    return met.agg(F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("place") <= 5, 1.0).otherwise(0.0)), 6).alias("hit_at_5"), F.count(F.lit(1)).alias("queries"))
-
-
+def reciprocal_ranks(rel: Relations, questions: DataFrame, percentiles: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """How right answers fare in this ranking: questions, mean reciprocal rank of the best right answer within ``limit``,
+    and the share of questions with one among the first five. questions: query, node, a row per right answer."""
+    right = questions.select("query", "node").distinct()
+    ranked = bm25_top(rel, right, limit, percentiles).select("query", "node", "place")
+    best = right.join(ranked, ["query", "node"], "left").groupBy("query").agg(F.min("place").alias("place"))
+    return best.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("place") <= 5, 1.0).otherwise(0.0)), 6).alias("hit_at_5"))

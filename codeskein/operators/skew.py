@@ -12,9 +12,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeskein.session import shuffle_width
+
 #: A heavy key's side of a join is broadcast up to this many rows and salted beyond it.
 BROADCAST_ROWS = 100_000
 SALTS = 64
+#: A key is heavy from this share of the rows on, and from less where rows are spread over more tasks.
+SHARE, LEAST_SHARE = 1 / 256, 1 / 4096
+#: Items the sketch can track at most.
+MOST_TRACKED = 1 << 17
+
+
+def default_share(df: DataFrame) -> float:
+    """One task's part of a shuffle, between LEAST_SHARE and SHARE: a key that holds as much is worth parting."""
+    return min(SHARE, max(LEAST_SHARE, 1 / shuffle_width(df.sparkSession)))
 
 
 @dataclass(frozen=True)
@@ -30,14 +41,17 @@ class HeavyKeys:
         return key.isNull() | key.isin(list(self.keys)) if self.keys else key.isNull()
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = 1 / 256) -> HeavyKeys:
-    """The keys that hold at least ``share`` of the rows.
+def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> HeavyKeys:
+    """The keys that hold at least ``share`` of the rows (by default one task's part of a shuffle).
 
     The sketch tracks ``32 / share`` items; its error is at most 3.5 / (items / 0.75) of the rows, well under
-    ``share``, so no such key is missed. An empty table has none; null is never listed.
+    ``share``, so no such key is missed; a share that would need more items than a sketch can track is an error. An
+    empty table has none; null is never listed.
     """
+    share = share or default_share(df)
     tracked = 1 << max(10, int(32 / share - 1).bit_length())
-    tracked = min(tracked, 1 << 17)
+    if tracked > MOST_TRACKED:
+        raise ValueError(f"shares under 32/{MOST_TRACKED} can't be told: {share}")
     found = df.agg(F.expr(f"approx_top_k(`{key}`, {int(1 / share) + 1}, {tracked})").alias("top"), F.count(F.lit(1)).alias("rows")).first()
     keys = tuple(sorted(x["item"] for x in found["top"] or [] if x["item"] is not None and x["count"] >= share * found["rows"]))
     return HeavyKeys(keys, found["rows"], share)
@@ -61,7 +75,7 @@ def skew_join(fact: DataFrame, side: DataFrame, key: str, how: str = "left", hea
     return salted.drop("__salt").unionByName(rest)
 
 
-def target_totals(edges: DataFrame, caller_totals: DataFrame, share: float = 1 / 256) -> tuple[DataFrame, HeavyKeys]:
+def target_totals(edges: DataFrame, caller_totals: DataFrame, share: float | None = None) -> tuple[DataFrame, HeavyKeys]:
     """Totals of every edge target, one row per ``to_node`` (null and 0 included), and the heavy keys.
 
     Columns: to_node, edge_rows (all rows, resent ones too), sum_edge_count (over all rows), call_sites and

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeskein.functions.text import is_test
-from codeskein.operators.closure import closure, pagerank, rank_links
+from codeskein.operators.closure import closure, pagerank, pairs_closure, rank_links
 from codeskein.operators.communities import community_links, louvain_communities, modularity, type_links
+from codeskein.operators.skew import skew_join
 from codeskein.relations import DISPATCH_KINDS, EDGES_SQL, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain, is_type
 from codeskein.session import materialize
 
@@ -35,11 +36,17 @@ def _links(rel: Relations, kinds: tuple[str, ...], reverse: bool = False) -> Dat
     return rel.edges.where(F.col("edge_kind").isin(*kinds)).select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
 
-def _walk_sql(seed: str, links: str, depth: int) -> str:
-    """Closure with least depths; ``links`` gives src and dst."""
-    return f"""WITH RECURSIVE {EDGES_SQL}, links AS ({links}),
-        walk(node, depth) AS (SELECT * FROM ({seed}) UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < {depth}),
-        reached AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node)"""
+def steps_sql(name: str, seed: str, links: str, bound: str = "true") -> str:
+    """A recursive table (node, depth) of nodes with their least depths; every node is visited once."""
+    return f"""{name}(node, depth) USING KEY (node) AS (SELECT * FROM ({seed})
+        UNION SELECT dst, min(depth) + 1 FROM {name} JOIN ({links}) ON src = node WHERE {bound} AND dst NOT IN (SELECT node FROM recurring.{name}) GROUP BY dst)"""
+
+
+def _walk_sql(seed: str, links: str, depth: int | None = None) -> str:
+    """Closure with least depths, to ``depth`` if given; ``links`` gives src and dst."""
+    bound = "true" if depth is None else f"depth < {depth}"
+    return f"""WITH RECURSIVE {EDGES_SQL}, links AS ({links}), {steps_sql('walk', seed, 'SELECT * FROM links', bound)},
+        reached AS (SELECT node, CAST(depth AS INTEGER) AS depth FROM walk)"""
 
 
 def bases(rel: Relations) -> DataFrame:
@@ -92,10 +99,8 @@ def override_matches(rel: Relations) -> DataFrame:
 
 
 def implementation_counts(rel: Relations) -> DataFrame:
-    """Per member: members that override or implement it directly or through one more."""
-    direct = _links(rel, DISPATCH_KINDS, reverse=True).distinct()
-    second = direct.alias("a").join(direct.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-    return direct.unionByName(second).where("src <> dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("implementations"))
+    """Per member: members that override or implement it, directly or through others."""
+    return pairs_closure(_links(rel, DISPATCH_KINDS, reverse=True)).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("implementations"))
 
 
 def page_rank(rel: Relations) -> DataFrame:
@@ -177,16 +182,18 @@ def entry_points(rel: Relations) -> DataFrame:
 
 
 def top_level_types(rel: Relations) -> DataFrame:
-    """Each symbol's outermost type; containers nest one level in these tables, deeper chains take more steps."""
-    at = rel.symbols.select("seq", F.coalesce("container_id", "id").alias("top"), F.lit(True).alias("more"))
-    owners = materialize(rel.symbols.select(F.col("id").alias("top"), F.col("container_id").alias("above"), "kind"))
-    for _ in range(8):
-        at = at.join(owners, "top", "left").select("seq", F.coalesce("above", "top").alias("top"), F.col("above").isNotNull().alias("more"))
-        at = materialize(at)
+    """Each symbol's outermost type, whatever the depth of nesting: every round doubles the containers skipped.
+
+    What still moves after as many rounds as any chain could need runs in a circle and has no outermost type.
+    """
+    at = materialize(rel.symbols.select("seq", "id", F.col("container_id").alias("above"), F.lit(True).alias("more")))
+    for _ in range(at.count().bit_length() + 1):
+        owners = at.where("above IS NOT NULL").select(F.col("id").alias("above"), F.col("above").alias("further"))
+        at = materialize(skew_join(at.drop("more"), owners, "above").select("seq", "id", F.coalesce("further", "above").alias("above"), F.col("further").isNotNull().alias("more")))
         if not at.where("more").limit(1).count():
             break
     types = rel.symbols.where(is_type(F.col("kind"))).select(F.col("id").alias("top"))
-    return at.join(types, "top", "left_semi").select("seq", "top")
+    return at.where("NOT more").select("seq", F.coalesce("above", "id").alias("top")).join(types, "top", "left_semi").select("seq", "top")
 
 
 def context_neighbours(rel: Relations) -> DataFrame:
@@ -220,7 +227,7 @@ _TYPES = "('Class', 'Struct', 'Interface', 'Enum', 'Record', 'RecordStruct', 'De
 _TESTED = "regexp_matches(coalesce(file, ''), '(?i)(?:^|[\\\\/])[^\\\\/]*Tests?(?:[\\\\/.]|$)')"
 _UP = "SELECT from_node AS src, to_node AS dst FROM edges WHERE edge_kind IN {}"
 _DOWN = "SELECT to_node AS src, from_node AS dst FROM edges WHERE edge_kind IN {}"
-_RANK_SQL = f"""WITH RECURSIVE {EDGES_SQL},
+RANK_SQL = f"""WITH RECURSIVE {EDGES_SQL},
     links AS (
       SELECT a, b, sum(w) AS w FROM (
         SELECT from_node AS a, to_node AS b, 1 + ln(greatest(edge_count, 1)) AS w FROM edges WHERE edge_kind <> 'Contains' AND coalesce(confidence, 0) <> 2
@@ -238,25 +245,25 @@ _RANK_SQL = f"""WITH RECURSIVE {EDGES_SQL},
     ranked AS (SELECT id AS node, round(v, 9) AS rank FROM pr WHERE it = 40)"""
 
 _CALLS: dict[str, tuple] = {
-    "type_hierarchy_bases": (bases, _walk_sql(f"SELECT {_most_sql('from_node', _H)} AS node, 0 AS depth", _UP.format(_H), 6) + " SELECT * FROM reached WHERE depth > 0"),
-    "derived_depth": (derived, _walk_sql(f"SELECT {_most_sql('to_node', _H)} AS node, 0 AS depth", _DOWN.format(_H), 6) + " SELECT * FROM reached WHERE depth > 0"),
+    "type_hierarchy_bases": (bases, _walk_sql(f"SELECT {_most_sql('from_node', _H)} AS node, 0 AS depth", _UP.format(_H)) + " SELECT * FROM reached WHERE depth > 0"),
+    "derived_depth": (derived, _walk_sql(f"SELECT {_most_sql('to_node', _H)} AS node, 0 AS depth", _DOWN.format(_H)) + " SELECT * FROM reached WHERE depth > 0"),
     "find_implementations": (
         implementations,
-        _walk_sql(f"SELECT {_most_sql('to_node', _S)} AS node, 0 AS depth", _DOWN.format(_S), 4)
+        _walk_sql(f"SELECT {_most_sql('to_node', _S)} AS node, 0 AS depth", _DOWN.format(_S))
         + f" SELECT r.node, r.depth, min(edge_kind) AS relation FROM reached r JOIN edges ON from_node = r.node AND edge_kind IN {_S} JOIN reached u ON u.node = to_node AND u.depth + 1 = r.depth WHERE r.depth > 0 GROUP BY ALL",
     ),
-    "called_as": (called_as, _walk_sql(f"SELECT {_most_sql('from_node', _D)} AS node, 0 AS depth", _UP.format(_D), 6) + " SELECT * FROM reached"),
+    "called_as": (called_as, _walk_sql(f"SELECT {_most_sql('from_node', _D)} AS node, 0 AS depth", _UP.format(_D)) + " SELECT * FROM reached"),
     "find_references_family": (
         family_references,
         f"""WITH RECURSIVE {EDGES_SQL},
-            up(node, depth) AS (SELECT {_most_sql('from_node', _D)}, 0 UNION SELECT to_node, depth + 1 FROM up JOIN edges ON from_node = node AND edge_kind IN {_D} WHERE depth < 6),
-            fam(node, depth) AS (SELECT DISTINCT node, 0 FROM up UNION SELECT from_node, depth + 1 FROM fam JOIN edges ON to_node = node AND edge_kind IN {_D} WHERE depth < 6)
+            {steps_sql('up', f"SELECT {_most_sql('from_node', _D)} AS node, 0 AS depth", _UP.format(_D))},
+            {steps_sql('fam', 'SELECT DISTINCT node, 0 AS depth FROM up', _DOWN.format(_D))}
             SELECT to_node, count(*) FILTER (WHERE coalesce(confidence, 0) <> 2) AS reference_count, count(*) FILTER (WHERE confidence = 2) AS name_only
             FROM raw WHERE to_node IN (SELECT node FROM fam) GROUP BY to_node""",
     ),
     "inherited_members": (
         inherited_members,
-        _walk_sql(f"SELECT (SELECT from_node FROM edges JOIN sym ON seq = from_node WHERE edge_kind IN {_H} AND kind IN {_TYPES} GROUP BY from_node ORDER BY count(*) DESC, from_node LIMIT 1) AS node, 0 AS depth", _UP.format(_H), 6)
+        _walk_sql(f"SELECT (SELECT from_node FROM edges JOIN sym ON seq = from_node WHERE edge_kind IN {_H} AND kind IN {_TYPES} GROUP BY from_node ORDER BY count(*) DESC, from_node LIMIT 1) AS node, 0 AS depth", _UP.format(_H))
         + f", near AS (SELECT s.id, depth FROM reached JOIN sym s ON s.seq = node WHERE kind IN {_TYPES} ORDER BY depth, node LIMIT 32) SELECT m.container_id, depth, m.id, m.kind FROM near JOIN sym m ON m.container_id = near.id",
     ),
     "override_match": (
@@ -266,11 +273,11 @@ _CALLS: dict[str, tuple] = {
     ),
     "implementation_counts": (
         implementation_counts,
-        f"""WITH {EDGES_SQL}, d AS (SELECT DISTINCT to_node AS src, from_node AS dst FROM edges WHERE edge_kind IN {_D}),
-            r AS (SELECT src, dst FROM d UNION SELECT a.src, b.dst FROM d a JOIN d b ON a.dst = b.src) SELECT src AS node, count(*) AS implementations FROM r WHERE src <> dst GROUP BY src""",
+        f"""WITH RECURSIVE {EDGES_SQL}, d AS (SELECT DISTINCT to_node AS src, from_node AS dst FROM edges WHERE edge_kind IN {_D}),
+            r(src, dst) AS (SELECT src, dst FROM d UNION SELECT r.src, d.dst FROM r JOIN d ON r.dst = d.src) SELECT src AS node, count(*) AS implementations FROM r WHERE src <> dst GROUP BY src""",
     ),
-    "pagerank": (page_rank, _RANK_SQL + " SELECT node, rank FROM ranked"),
-    "rank_percentile": (rank_percentile, _RANK_SQL + " SELECT node, rank, round((row_number() OVER (ORDER BY rank, node) - 1) / (SELECT n - 1 FROM n), 6) AS percentile FROM ranked"),
+    "pagerank": (page_rank, RANK_SQL + " SELECT node, rank FROM ranked"),
+    "rank_percentile": (rank_percentile, RANK_SQL + " SELECT node, rank, round((row_number() OVER (ORDER BY rank, node) - 1) / (SELECT n - 1 FROM n), 6) AS percentile FROM ranked"),
     "impact_analysis": (impact, _IMPACT_SQL + " SELECT * FROM reached WHERE depth > 0"),
     "impact_by_depth": (impact_by_depth, _IMPACT_SQL + f" SELECT depth, count(*) AS members, count(*) FILTER (WHERE {_TESTED}) AS test_members FROM reached JOIN sym ON seq = node WHERE depth > 0 GROUP BY depth"),
     "impact_by_project": (impact_by_project, _IMPACT_SQL + f" SELECT project, count(*) AS members, count(*) FILTER (WHERE {_TESTED}) AS test_members FROM reached JOIN sym ON seq = node WHERE depth > 0 GROUP BY project"),
@@ -293,7 +300,11 @@ _CALLS: dict[str, tuple] = {
             r3 AS (SELECT * FROM r2 UNION SELECT seq, b FROM r2 JOIN steps ON a = x), c AS (SELECT seq, count(*) - 1 AS reach FROM r3 GROUP BY seq)
             SELECT id, out_degree, reach FROM fits JOIN c USING (seq) ORDER BY (name = 'Main') DESC, {_TESTED}, reach DESC, id LIMIT 10""",
     ),
-    "top_level_types": (top_level_types, f"WITH {EDGES_SQL} SELECT m.seq, coalesce(o.id, m.id) AS top FROM sym m LEFT JOIN sym o ON o.id = m.container_id WHERE coalesce(o.kind, m.kind) IN {_TYPES}"),
+    "top_level_types": (
+        top_level_types,
+        f"""WITH RECURSIVE {EDGES_SQL}, up(seq, id, above) AS (SELECT seq, id, container_id FROM sym UNION SELECT up.seq, o.id, o.container_id FROM up JOIN sym o ON o.id = up.above)
+            SELECT up.seq, up.id AS top FROM up JOIN sym t ON t.id = up.id WHERE above IS NULL AND t.kind IN {_TYPES}""",
+    ),
     "context_neighbors": (
         context_neighbours,
         f"""WITH {EDGES_SQL}, s AS (SELECT {_most_sql('from_node', ('Calls', 'Calls'))} AS seed),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from codeskein.functions.paths import base_name, common_directories, framework_family, framework_major, framework_symbols, slashed
 from codeskein.operators import incremental as inc
 from codeskein.operators.closure import closure
+from codeskein.plans.graph import steps_sql
 from codeskein.relations import NEWEST_SQL, RAW_SQL, SYM_SQL, Relations
 from codeskein.session import materialize
 
@@ -72,7 +73,7 @@ def project_closure(rel: Relations) -> DataFrame:
     known = projects(rel).select(slashed(F.col("path")).alias("dst"))
     first = links.groupBy("src").count().orderBy(F.desc("count"), "src").first()
     seeds = rel.spark.createDataFrame([(first["src"] if first else "",)], "node string")
-    return closure(seeds, links.join(known, "dst", "left_semi"), 64)
+    return closure(seeds, links.join(known, "dst", "left_semi"))
 
 
 def missing_projects(rel: Relations) -> DataFrame:
@@ -140,7 +141,7 @@ def include_closure(rel: Relations) -> DataFrame:
     """Files reached by quoted includes from the file that includes most, with the number of steps."""
     links = materialize(includes(rel).select(F.col("path").alias("src"), F.col("target").alias("dst")))
     first = links.groupBy("src").count().orderBy(F.desc("count"), "src").first()
-    return closure(rel.spark.createDataFrame([(first["src"] if first else "",)], "node string"), links, 64)
+    return closure(rel.spark.createDataFrame([(first["src"] if first else "",)], "node string"), links)
 
 
 def unique_names(rel: Relations) -> DataFrame:
@@ -199,6 +200,11 @@ _PRINTS = f"""{SYM_SQL},
     after AS (SELECT file, id, name, kind, {_DETAILS.format(sig="CASE WHEN seq % 17 = 0 THEN signature || ' ?' ELSE signature END")} AS details FROM sym WHERE seq % 19 <> 0),
     diff AS (SELECT *, 'before' AS side FROM (SELECT * FROM before EXCEPT ALL SELECT * FROM after) UNION ALL SELECT *, 'after' FROM (SELECT * FROM after EXCEPT ALL SELECT * FROM before))"""
 
+_INCLUDES = """i AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*#[ \\t]*include[ \\t]*"([^"\\n]+)"', 1)) AS include FROM documents WHERE lower(trim(source)) = 'repo' AND regexp_matches(path, '\\.(?:h|hpp|cc|cpp)$')),
+    m AS (SELECT i.path, include, n.path AS target, string_split(i.path, '/')[1:-2] AS x, string_split(n.path, '/')[1:-2] AS y FROM i JOIN newest n ON lower(regexp_extract(include, '([^/\\\\]*)$', 1)) = lower(regexp_extract(n.path, '([^/\\\\]*)$', 1))),
+    s AS (SELECT path, include, target, CAST(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k])) AS INTEGER) AS shared FROM m),
+    resolved AS (SELECT path, include, target, shared FROM s QUALIFY row_number() OVER (PARTITION BY path, include ORDER BY shared DESC, target) = 1)"""
+
 _CALLS: dict[str, tuple] = {
     "workspace_status": (
         status,
@@ -223,8 +229,8 @@ _CALLS: dict[str, tuple] = {
     "project_closure": (
         project_closure,
         f"""WITH RECURSIVE {_P}, {_LINKS}, known AS (SELECT {_SLASH.format('path')} AS path FROM p), ok AS (SELECT * FROM links WHERE dst IN (SELECT path FROM known)),
-            w(node, depth) AS (SELECT (SELECT src FROM links GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), 0 UNION SELECT dst, depth + 1 FROM w JOIN ok ON src = node WHERE depth < 12)
-            SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node""",
+            {steps_sql('w', "SELECT (SELECT src FROM links GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) AS node, 0 AS depth", 'SELECT * FROM ok')}
+            SELECT node, CAST(depth AS INTEGER) AS depth FROM w""",
     ),
     "missing_projects": (missing_projects, f"WITH {_P}, {_LINKS} SELECT src, dst FROM links WHERE dst NOT IN (SELECT {_SLASH.format('path')} FROM p)"),
     "file_owners": (file_owners, f"WITH {_P}, {_LISTED} SELECT file, name AS project FROM listed QUALIFY row_number() OVER (PARTITION BY file ORDER BY project_path, name) = 1"),
@@ -248,14 +254,13 @@ _CALLS: dict[str, tuple] = {
         f"WITH {_P}, c AS (SELECT repo, language, language_version, count(*) AS projects FROM p GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY repo, language ORDER BY projects DESC, language_version) = 1",
     ),
     "project_keys": (project_keys, f"WITH {_P}, {_LISTED} SELECT name, upper(sha256(array_to_string(list_sort(list(DISTINCT file)), chr(10)))) AS key FROM listed GROUP BY name"),
-    "include_resolution": (
-        includes,
-        f"""WITH {NEWEST_SQL}, i AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*#[ \\t]*include[ \\t]*"([^"\\n]+)"', 1)) AS include FROM documents WHERE lower(trim(source)) = 'repo' AND regexp_matches(path, '\\.(?:h|hpp|cc|cpp)$')),
-            m AS (SELECT i.path, include, n.path AS target, string_split(i.path, '/')[1:-2] AS x, string_split(n.path, '/')[1:-2] AS y FROM i JOIN newest n ON lower(regexp_extract(include, '([^/\\\\]*)$', 1)) = lower(regexp_extract(n.path, '([^/\\\\]*)$', 1))),
-            s AS (SELECT path, include, target, CAST(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k])) AS INTEGER) AS shared FROM m)
-            SELECT path, include, target, shared FROM s QUALIFY row_number() OVER (PARTITION BY path, include ORDER BY shared DESC, target) = 1""",
+    "include_resolution": (includes, f"WITH {NEWEST_SQL}, {_INCLUDES} SELECT * FROM resolved"),
+    "include_closure": (
+        include_closure,
+        f"""WITH RECURSIVE {NEWEST_SQL}, {_INCLUDES}, links AS (SELECT DISTINCT path AS src, target AS dst FROM resolved),
+            {steps_sql('w', "SELECT coalesce((SELECT src FROM (SELECT path AS src FROM resolved) GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), '') AS node, 0 AS depth", 'SELECT * FROM links')}
+            SELECT node, CAST(depth AS INTEGER) AS depth FROM w""",
     ),
-    "include_closure": (include_closure, None),
     "unique_file_names": (unique_names, f"WITH {NEWEST_SQL} SELECT regexp_extract(path, '([^/\\\\]*)$', 1) AS name, min(path) AS path FROM newest GROUP BY 1 HAVING count(*) = 1"),
     "simplify_parameters": (
         simplified_ids,
@@ -266,7 +271,16 @@ _CALLS: dict[str, tuple] = {
         """WITH i AS (SELECT * FROM context_items QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY served_at) = 1)
            SELECT request_id, count(*) AS items, CAST(sum((80 + coalesce(length(code), 0)) // 4) AS BIGINT) AS tokens, max(coalesce(token_budget, 4000)) AS budget FROM i GROUP BY request_id""",
     ),
-    "budget_fill": (budget_fill, None),
+    "budget_fill": (
+        budget_fill,
+        """WITH RECURSIVE i AS (SELECT * FROM context_items WHERE request_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY served_at) = 1),
+            o AS (SELECT request_id, (80 + coalesce(length(code), 0)) // 4 AS size, max(coalesce(token_budget, 4000)) OVER (PARTITION BY request_id) AS budget,
+                  row_number() OVER (PARTITION BY request_id ORDER BY distance NULLS FIRST, item_id NULLS FIRST) AS n FROM i),
+            f(request_id, n, used, taken) AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM o
+              UNION ALL SELECT o.request_id, o.n, CASE WHEN used + size <= budget THEN used + size ELSE used END, CASE WHEN used + size <= budget THEN taken + 1 ELSE taken END FROM f JOIN o ON o.request_id = f.request_id AND o.n = f.n + 1)
+            SELECT request_id, CAST((SELECT max(budget) FROM o WHERE o.request_id = f.request_id) AS BIGINT) AS budget, CAST(n AS INTEGER) AS items, used, taken FROM f
+            QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC) = 1""",
+    ),
     "changed_documents": (
         lambda r: inc.document_changes(*states(r)),
         f"""WITH {_STATES} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'removed'

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeskein.operators import closure as closures
-from codeskein.operators.closure import closure, pagerank
+from codeskein.operators.closure import closure, pagerank, pairs_closure
 from codeskein.operators.communities import louvain, louvain_communities, synchronous_communities
 from codeskein.plans import graph
 from codeskein.plans.graph import percentile
@@ -98,3 +98,31 @@ def test_communities_are_the_same_by_joins_and_by_arrays_and_as_good_as_sequenti
     joins = {r["node"]: r["community"] for r in synchronous_communities(links).collect()}
     assert arrays == joins and set(arrays) == set(range(60))
     assert quality(arrays) > 0.97 * quality(louvain(edges))
+
+
+def chain(spark, n):
+    """0 <- 1 <- 2 ... and back from the end to the start, with a shortcut."""
+    rows = [(i, i + 1) for i in range(n)] + [(n, 0), (0, 0), (None, 3), (3, None), (0, 2)]
+    return spark.createDataFrame(rows, "src long, dst long")
+
+
+def test_closure_goes_to_any_depth_and_ends_on_a_circle(spark):
+    got = {r["node"]: r["depth"] for r in closure(spark.createDataFrame([(0,)], "node long"), chain(spark, 40)).collect()}
+    assert got == {0: 0, 1: 1, **{i: i - 1 for i in range(2, 41)}}
+
+
+def test_pairs_closure_has_every_pair_once(spark):
+    rows = pairs_closure(chain(spark, 9)).collect()
+    assert sorted((r["src"], r["dst"]) for r in rows) == [(a, b) for a in range(10) for b in range(10) if a != b]
+    assert pairs_closure(chain(spark, 9).limit(0)).count() == 0
+
+
+def test_outermost_types_through_many_containers_and_circles(spark):
+    class Tables:
+        symbols = spark.createDataFrame(
+            [(i, f"t{i}", f"t{i - 1}" if i else None, "Class") for i in range(20)] + [(50, "a", "b", "Class"), (51, "b", "c", "Class"), (52, "c", "a", "Class"), (53, "m", "a", "Method"), (54, "f", None, "Function")],
+            "seq long, id string, container_id string, kind string",
+        )
+
+    got = {(r["seq"], r["top"]) for r in graph.top_level_types(Tables).collect()}
+    assert got == {(i, "t0") for i in range(20)}
