@@ -102,41 +102,70 @@ def word_parts(rel: Relations, words: DataFrame, percentiles: DataFrame | None =
     return met.groupBy("asked", "node").agg((F.max(F.col("factor") * idf * F.col("tf")) * F.first("node_weight")).alias("part"))
 
 
-def _scored(rel: Relations, parts: DataFrame) -> DataFrame:
-    """parts: query, node, asked, part. Gives query, node, id, matched (asked words met, sorted) and the rounded score."""
-    scores = parts.groupBy("query", "node").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
-    named = scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name"), "node")
+def _scored(rel: Relations, parts: DataFrame, key: str = "query") -> DataFrame:
+    """parts: ``key``, node, asked, part. Gives ``key``, node, id, matched (asked words met, sorted), score, and name."""
+    scores = parts.groupBy(key, "node").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
+    return scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name"), "node")
+
+
+def _boosted(scores: DataFrame) -> DataFrame:
     boost = F.when(F.lower("name") == _squeezed("query"), NAME_BOOST).otherwise(1.0)
-    return named.select("query", "node", "id", "matched", F.bround(F.col("score") * boost, 3).alias("score"))
+    return scores.select("query", "node", "id", "matched", F.bround(F.col("score") * boost, 3).alias("score"))
 
 
 def bm25(rel: Relations, queries: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
     """query, node, id, matched, score of every symbol that holds a word of a query: meant for few queries."""
     asked = materialize(query_terms(queries)).withColumnRenamed("term", "asked")
     parts = word_parts(rel, asked.select(F.col("asked").alias("term")), percentiles)
-    return _scored(rel, asked.join(parts, "asked"))
+    return _boosted(_scored(rel, asked.join(parts, "asked")))
 
 
 def bm25_top(rel: Relations, queries: DataFrame, limit: int, percentiles: DataFrame | None = None) -> DataFrame:
     """query, node, id, matched, score, place: the ``limit`` best of every query, the same as ranking all.
 
-    The limit-th best part of a query's best word is a score that ``limit`` symbols reach. Words whose greatest parts,
-    added up from the least, stay below that can't bring a symbol among them by themselves: only symbols with another
-    word, or with the queried name, are scored, and the common words are looked up for them.
+    Queries that come down to the same held words are ranked once, by those words. Only the boost of a symbol of the
+    queried name depends on the query itself: such symbols are scored besides, and as it only raises them, the best of a
+    query are among them and the best of its words.
     """
     asked = materialize(query_terms(queries).withColumnRenamed("term", "asked"))
     parts = materialize(word_parts(rel, asked.select(F.col("asked").alias("term")), percentiles))
     best = parts.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("part")))).where(F.col("n") <= limit)
-    best = best.groupBy("asked").agg(F.max("part").alias("most"), F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached"))
-    by_query = Window.partitionBy("query")
-    ranked = skew_join(asked, best, "asked", "inner").withColumn("reached", F.coalesce(F.max("reached").over(by_query), F.lit(0.0)))
-    ranked = ranked.withColumn("together", F.sum("most").over(by_query.orderBy("most", "asked").rowsBetween(Window.unboundedPreceding, 0)))
-    telling = ranked.where(F.col("together") >= F.col("reached") - ROUNDING).select("query", "asked")
-    found = skew_join(telling, parts.select("asked", "node"), "asked", "inner").select("query", "node")
+    best = materialize(best.groupBy("asked").agg(F.max("part").alias("most"), F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached")))
+    held = materialize(skew_join(asked, best.select("asked"), "asked", "inner"))
+    by_words = materialize(held.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("asked")), " ").alias("words")))
+    common = _top_of_words(rel, by_words.select("words").distinct(), parts, best, limit)
+    found = skew_join(by_words, common, "words", "inner").select("query", "node", "id", "matched", "score", "name")
     names = rel.symbols.select(F.lower("name").alias("squeezed"), F.col("seq").alias("node"))
-    named = skew_join(asked.select("query", _squeezed("query").alias("squeezed")).distinct(), names, "squeezed", "inner").select("query", "node")
-    candidates = materialize(found.unionByName(named).distinct())
-    return top_hits(_scored(rel, candidates.join(asked, "query").join(parts, ["asked", "node"])), limit)
+    named = skew_join(by_words.select("query", _squeezed("query").alias("squeezed")), names, "squeezed", "inner").select("query", "node")
+    named = _scored(rel, named.join(held, "query").join(parts, ["asked", "node"]))
+    either = found.unionByName(named.select(*found.columns)).dropDuplicates(["query", "node"])
+    return top_hits(_boosted(either), limit)
+
+
+def _top_of_words(rel: Relations, words: DataFrame, parts: DataFrame, best: DataFrame, limit: int) -> DataFrame:
+    """words, node, id, matched, score, name: the ``limit`` best symbols of every set of asked words (joined by spaces).
+
+    The limit-th best part of a set's best word is a score that ``limit`` symbols reach. Words whose greatest parts,
+    added up from the least, stay below that can't bring a symbol among them by themselves. Neither can a symbol whose
+    part of a word stays below it even with the greatest parts of all other words. Only what is left is scored; the
+    other words are looked up for it.
+    """
+    asked = words.select(F.xxhash64("words").alias("set"), F.explode(F.split("words", " ")).alias("asked"))
+    of_words = Window.partitionBy("set")
+    ranked = skew_join(asked, best, "asked", "inner").withColumn("reached", F.coalesce(F.max("reached").over(of_words), F.lit(0.0)))
+    ranked = ranked.withColumn("together", F.sum("most").over(of_words.orderBy("most", "asked").rowsBetween(Window.unboundedPreceding, 0)))
+    needed = F.col("reached") - (F.sum("most").over(of_words) - F.col("most")) - ROUNDING
+    ranked = materialize(ranked.withColumn("needed", needed).withColumn("telling", F.col("together") >= F.col("reached") - ROUNDING))
+    told = skew_join(ranked.where("telling").select("set", "asked", "needed", "reached"), parts, "asked", "inner").where(F.col("part") >= F.col("needed")).select("set", "node", "part", "reached")
+    others = ranked.where("NOT telling").select("set", "asked")
+    looked_up = told.select("set", "node", "reached").distinct().join(others, "set").join(parts, ["asked", "node"]).select("set", "node", "part", "reached")
+    scores = told.unionByName(looked_up).groupBy("set", "node").agg(F.sum("part").alias("score"), F.max("reached").alias("reached"))
+    scores = scores.where(F.col("score") >= F.col("reached") - ROUNDING).withColumn("rounded", F.bround("score", 3))
+    order = Window.partitionBy("set").orderBy(F.desc("rounded"), "id")
+    names = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
+    top = materialize(scores.join(names, "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "score", "name"))
+    matched = top.select("set", "node").join(ranked.select("set", "asked"), "set").join(parts, ["asked", "node"]).groupBy("set", "node").agg(F.array_sort(F.collect_set("asked")).alias("matched"))
+    return words.withColumn("set", F.xxhash64("words")).join(top, "set").join(matched, ["set", "node"]).select("words", "node", "id", "matched", "score", "name")
 
 
 def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:
