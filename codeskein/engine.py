@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from codeskein.functions.text import is_test
 from codeskein.operators import communities, navigation, search
 from codeskein.operators.closure import closure
+from codeskein.operators.resolve import symbol_candidates
 from codeskein.plans import graph, workspace
 from codeskein.plans import navigation as listed
-from codeskein.relations import DISPATCH_KINDS, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain
+from codeskein.relations import DISPATCH_KINDS, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain, is_type
 from codeskein.sources.files import Annotations
 
 MOST_CANDIDATES = 20
+#: Neighbours of which a context is chosen.
+CONTEXT_ROWS = 2000
 
 
 class Ambiguous(Exception):
@@ -30,15 +33,17 @@ class CodeGraph:
         self.notes = Annotations(notes) if notes else None
 
     def resolve(self, symbol: str) -> int:
-        """Node of an id, of an id without parameters or return type, or of a unique name."""
-        s = self.rel.symbols
-        for hits in (s.where(F.col("id") == symbol), s.where(F.col("id").startswith(symbol + "(")), s.where(F.col("name") == symbol), s.where(F.lower("name") == symbol.lower())):
-            found = hits.select("seq", "id").orderBy("id").limit(MOST_CANDIDATES + 1).collect()
-            if len(found) == 1:
-                return found[0]["seq"]
-            if found:
-                raise Ambiguous(symbol, [r["id"] for r in found[:MOST_CANDIDATES]])
-        raise KeyError(f"no symbol {symbol}")
+        """Node of an id, also in its short forms, of a place (``file:line`` or ``file:line:column``), or of a name."""
+        exact = self.rel.symbols.where(F.col("id") == symbol).select("seq").first()
+        if exact:
+            return exact["seq"]
+        asked = self.spark.createDataFrame([(symbol,)], "query string")
+        found = symbol_candidates(self.rel, asked).orderBy("id", "node").limit(MOST_CANDIDATES + 1).collect()
+        if not found:
+            raise KeyError(f"no symbol {symbol}")
+        if len(found) > 1:
+            raise Ambiguous(symbol, [r["id"] for r in found[:MOST_CANDIDATES]])
+        return found[0]["node"]
 
     def _named(self, nodes: DataFrame, key: str = "node") -> DataFrame:
         return nodes.join(self.rel.symbols.select(F.col("seq").alias(key), "id", "kind", "name", "project", "file"), key)
@@ -70,7 +75,7 @@ class CodeGraph:
 
     def type_members(self, symbol: str, kind: str | None = None, inherited: bool = False, limit: int = 200) -> DataFrame:
         start = self._start(self.resolve(symbol))
-        types = closure(start, graph._links(self.rel, HIERARCHY_KINDS), 32) if inherited else start.withColumn("depth", F.lit(0))
+        types = closure(start, graph._links(self.rel, HIERARCHY_KINDS)) if inherited else start.withColumn("depth", F.lit(0))
         owners = types.join(self.rel.symbols.select(F.col("seq").alias("node"), F.col("id").alias("container_id")), "node").orderBy("depth", "node").limit(32)
         members = self.rel.symbols.join(owners.select("container_id", "depth"), "container_id")
         members = members.where(F.lower("kind") == kind.lower()) if kind else members
@@ -80,18 +85,18 @@ class CodeGraph:
         return self._named(navigation.file_outline(self.rel).where(F.col("file") == file).drop("file")).orderBy("start")
 
     def type_hierarchy(self, symbol: str, transitive: bool = False, limit: int = 100) -> DataFrame:
-        start, depth = self._start(self.resolve(symbol)), 64 if transitive else 1
+        start, depth = self._start(self.resolve(symbol)), None if transitive else 1
         up = closure(start, graph._links(self.rel, HIERARCHY_KINDS), depth).withColumn("direction", F.lit("base"))
         down = closure(start, graph._links(self.rel, HIERARCHY_KINDS, reverse=True), depth).withColumn("direction", F.lit("derived"))
         return self._named(up.unionByName(down).where("depth > 0")).orderBy("direction", "depth", "id").limit(limit)
 
     def find_implementations(self, symbol: str, limit: int = 100) -> DataFrame:
-        found = closure(self._start(self.resolve(symbol)), graph._links(self.rel, STRUCTURAL_KINDS, reverse=True), 64)
+        found = closure(self._start(self.resolve(symbol)), graph._links(self.rel, STRUCTURAL_KINDS, reverse=True))
         return self._named(found.where("depth > 0")).orderBy("depth", "id").limit(limit)
 
     def _family(self, node: int) -> DataFrame:
-        up = closure(self._start(node), graph._links(self.rel, DISPATCH_KINDS), 64)
-        return closure(up.select("node"), graph._links(self.rel, DISPATCH_KINDS, reverse=True), 64).select("node")
+        up = closure(self._start(node), graph._links(self.rel, DISPATCH_KINDS))
+        return closure(up.select("node"), graph._links(self.rel, DISPATCH_KINDS, reverse=True)).select("node")
 
     def find_references(self, symbol: str, limit: int = 200, offset: int = 0, implementations: bool = True, name_only: bool = False) -> DataFrame:
         node = self.resolve(symbol)
@@ -102,7 +107,7 @@ class CodeGraph:
 
     def find_callers(self, symbol: str, limit: int = 50, offset: int = 0, tests: bool = True, name_only: bool = False) -> DataFrame:
         node = self.resolve(symbol)
-        called = closure(self._start(node), graph._links(self.rel, DISPATCH_KINDS), 64)
+        called = closure(self._start(node), graph._links(self.rel, DISPATCH_KINDS))
         refs = self.rel.references.join(called.select(F.col("node").alias("to_node"), (F.col("depth") > 0).alias("indirect")), "to_node")
         refs = navigation.with_caller(self.rel, refs if name_only else refs.where(certain(F.col("confidence"))))
         refs = refs if tests else refs.where(~is_test(F.col("file")))
@@ -123,19 +128,24 @@ class CodeGraph:
         return found.orderBy(F.desc("score"), "id").limit(min(200, max(1, limit)))
 
     def get_context(self, symbol: str, depth: int = 1, token_budget: int = 4000) -> DataFrame:
-        """Neighbours within ``depth`` steps in order of distance, as long as their signatures fit the budget; one that
-        doesn't fit is skipped and the scan goes on."""
-        along = self.rel.edges.where(certain(F.col("confidence")))
-        links = along.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
-        both = links.unionByName(along.select(F.col("to_node").alias("src"), F.col("from_node").alias("dst")))
-        near = self._named(closure(self._start(self.resolve(symbol)), both, min(3, max(1, depth)))).join(self.rel.symbols.select("id", "signature", "summary"), "id")
-        size = F.floor((80 + F.length(F.coalesce("signature", F.lit(""))) + F.length(F.coalesce("summary", F.lit("")))) / 4).cast("long")
-        rows = near.withColumn("tokens", size).orderBy("depth", "id").limit(2000)
-        folded = rows.agg(F.array_sort(F.collect_list(F.struct("depth", "id", "kind", "tokens"))).alias("x"))
-        none = F.array().cast("array<struct<depth:int,id:string,kind:string,tokens:bigint>>")
-        start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("taken"))
-        taken = F.aggregate("x", start, lambda a, e: F.when(a["used"] + e["tokens"] <= token_budget, F.struct((a["used"] + e["tokens"]).alias("used"), F.concat(a["taken"], F.array(e)).alias("taken"))).otherwise(a))
-        return folded.select(F.explode(taken["taken"]).alias("e")).select("e.*")
+        """Neighbours within ``depth`` steps in order of distance, relation and weight, as long as their code, or else
+        signature, fits the budget; one that doesn't fit is skipped and the scan goes on. A type starts with its members;
+        at most CONTEXT_ROWS neighbours are looked at, in that order."""
+        start = self._start(self.resolve(symbol))
+        owners = start.join(self.rel.symbols.where(is_type(F.col("kind"))).select(F.col("seq").alias("node"), F.col("id").alias("container_id")), "node")
+        seeds = start.unionByName(self.rel.symbols.join(owners.select("container_id"), "container_id").select(F.col("seq").alias("node")))
+        ranks = graph.rank_percentile(self.rel).select("node", "percentile")
+        near = graph.context_hops(self.rel, seeds, min(3, max(1, depth)), ranks)
+        near = self._named(near).join(self.rel.symbols.select("id", "signature", "summary"), "id").join(search.bodies(self.rel), "node", "left")
+        text = F.coalesce("body", F.concat(F.coalesce("signature", F.lit("")), F.coalesce("summary", F.lit(""))))
+        size = F.floor((80 + F.length(text)) / 4).cast("long")
+        rows = near.withColumn("tokens", size).orderBy("depth", "priority", F.desc("weight"), "id").limit(CONTEXT_ROWS)
+        key = F.struct("depth", "priority", (-F.col("weight")).alias("light"), "id", "kind", "relation", "tokens", F.coalesce("body", "signature").alias("code"))
+        folded = rows.agg(F.array_sort(F.collect_list(key)).alias("x"))
+        none = F.array().cast("array<struct<depth:int,priority:int,light:double,id:string,kind:string,relation:string,tokens:bigint,code:string>>")
+        first = F.struct(F.lit(0).cast("long").alias("used"), none.alias("taken"))
+        taken = F.aggregate("x", first, lambda a, e: F.when(a["used"] + e["tokens"] <= token_budget, F.struct((a["used"] + e["tokens"]).alias("used"), F.concat(a["taken"], F.array(e)).alias("taken"))).otherwise(a))
+        return folded.select(F.explode(taken["taken"]).alias("e")).select("e.depth", "e.priority", (-F.col("e.light")).alias("weight"), "e.id", "e.kind", "e.relation", "e.tokens", "e.code")
 
     def impact_analysis(self, symbol: str, depth: int = 3, name_only: bool = False, limit: int = 100) -> DataFrame:
         node = self.resolve(symbol)
@@ -143,7 +153,8 @@ class CodeGraph:
         followed = self.rel.edges.where(F.col("edge_kind") != "Contains")
         followed = followed if name_only else followed.where(F.col("edge_kind").isin(*STRUCTURAL_KINDS) | certain(F.col("confidence")))
         reached = closure(self._start(node).unionByName(members), followed.select(F.col("to_node").alias("src"), F.col("from_node").alias("dst")), min(10, max(1, depth)))
-        return self._named(reached.where("depth > 0")).orderBy("depth", "id").limit(limit)
+        ranked = self._named(reached.where("depth > 0")).join(graph.page_rank(self.rel), "node", "left")
+        return ranked.orderBy("depth", F.desc("rank"), "id").limit(limit)
 
     def find_path(self, start: str, end: str, max_depth: int = 8) -> DataFrame:
         """One shortest path: node and step; forward, else reverse, else empty. A type counts only as the last step."""

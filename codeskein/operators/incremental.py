@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeskein.operators.skew import skew_join
 from codeskein.relations import Relations
 
 
@@ -53,11 +54,24 @@ def rebinds_everything(before: DataFrame, after: DataFrame) -> DataFrame:
     return types.where("sides > 1").select("id").unionByName(everywhere.select("id")).agg((F.count(F.lit(1)) > 0).alias("rebind_all"))
 
 
+def file_names(rel: Relations) -> DataFrame:
+    """path, name: the identifiers of every file's newest text, those in comments and strings among them.
+
+    One name is listed once per file; nothing is kept of numbers.
+    """
+    texts = rel.newest_sources.where("doc_id IS NOT NULL").select("doc_id", "path").join(rel.table("documents").select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+    return texts.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), F.lit(0)))).alias("name"))
+
+
 def files_to_bind(rel: Relations, names: DataFrame) -> DataFrame:
-    """Files with a reference to a symbol of one of ``names``."""
-    targets = rel.symbols.join(names, "name", "left_semi").select(F.col("seq").alias("to_node"))
+    """Files whose own identifiers meet one of ``names``, whether or not anything there was bound to it before; files
+    that only a recorded reference ties to such a symbol come besides, as their text may not be at hand."""
+    changed = names.select("name").where("name IS NOT NULL").distinct()
+    mention = skew_join(file_names(rel), changed, "name", "inner").select(F.col("path").alias("file"))
+    targets = rel.symbols.join(changed, "name", "left_semi").select(F.col("seq").alias("to_node"))
     sources = rel.references.join(targets, "to_node", "left_semi").select(F.col("from_node").alias("seq")).distinct()
-    return rel.symbols.join(sources, "seq", "left_semi").select("file").distinct()
+    bound = rel.symbols.join(sources, "seq", "left_semi").select("file")
+    return mention.unionByName(bound).distinct()
 
 
 def debounced(changes: DataFrame, key: str, at: str, gap: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from codeskein.functions.text import is_test
 from codeskein.operators.closure import closure, pagerank, pairs_closure, rank_links
 from codeskein.operators.communities import community_links, louvain_communities, modularity, type_links
-from codeskein.operators.skew import skew_join
+from codeskein.operators.skew import heavy_keys, skew_join
 from codeskein.relations import DISPATCH_KINDS, EDGES_SQL, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain, is_type
 from codeskein.session import materialize
 
@@ -196,16 +196,40 @@ def top_level_types(rel: Relations) -> DataFrame:
     return at.where("NOT more").select("seq", F.coalesce("above", "id").alias("top")).join(types, "top", "left_semi").select("seq", "top")
 
 
-def context_neighbours(rel: Relations) -> DataFrame:
-    """One hop around the most connected member: neighbours with their best relation, weight and order."""
-    seed = _most(rel, "from_node", ("Calls",))
+def _context_links(rel: Relations) -> DataFrame:
+    """Every certain edge both ways: node, next, relation, priority, count; containment and bases go before calls, and
+    what a member uses before what uses it."""
     near = rel.edges.where(certain(F.col("confidence")))
-    out = near.where(F.col("from_node") == seed).select(F.col("to_node").alias("node"), "edge_kind", "edge_count", F.lit(0).alias("back"))
-    back = near.where(F.col("to_node") == seed).select(F.col("from_node").alias("node"), "edge_kind", "edge_count", F.lit(1).alias("back"))
-    order = F.when(F.col("edge_kind") == "Contains", 0).when(F.col("edge_kind").isin(*STRUCTURAL_KINDS), 1).when(F.col("edge_kind") == "Calls", 2).otherwise(3) + 4 * F.col("back")
-    ranked = out.unionByName(back).withColumn("priority", order).withColumn("weight", F.round(F.log1p("edge_count") / 10, 6))
-    best = ranked.groupBy("node").agg(F.min_by(F.struct("priority", "edge_kind", "weight"), F.struct("priority", -F.col("weight"), "edge_kind")).alias("x"))
-    return best.select("node", "x.*")
+    order = F.when(F.col("edge_kind") == "Contains", 0).when(F.col("edge_kind").isin(*STRUCTURAL_KINDS), 1).when(F.col("edge_kind") == "Calls", 2).otherwise(3)
+    out = near.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_kind").alias("relation"), order.alias("priority"), "edge_count")
+    back = near.select(F.col("to_node").alias("node"), F.col("from_node").alias("next"), F.col("edge_kind").alias("relation"), (order + 4).alias("priority"), "edge_count")
+    return out.unionByName(back)
+
+
+def context_hops(rel: Relations, seeds: DataFrame, hops: int, percentiles: DataFrame) -> DataFrame:
+    """What lies within ``hops`` steps of ``seeds`` (node), which are left out: node, depth, relation, priority, weight.
+
+    Of the edges over which a node is first reached the best relation counts, then the greatest weight: the node's
+    percentile and a tenth of ln(1 + count).
+    """
+    links = materialize(_context_links(rel))
+    heavy = heavy_keys(links, "node")
+    frontier = visited = materialize(seeds.select("node").distinct())
+    found = None
+    for depth in range(1, hops + 1):
+        step = skew_join(links, frontier, "node", "inner", heavy).select(F.col("next").alias("node"), "relation", "priority", F.log1p("edge_count").alias("count"))
+        step = step.join(visited, "node", "left_anti").groupBy("node").agg(F.min(F.struct("priority", (-F.col("count")).alias("less"), "relation")).alias("x"))
+        step = materialize(step.select("node", F.lit(depth).alias("depth"), F.col("x.relation").alias("relation"), F.col("x.priority").alias("priority"), (-F.col("x.less") / 10).alias("counted")))
+        found = step if found is None else found.unionByName(step)
+        frontier = step.select("node")
+        visited = visited.unionByName(frontier)
+    weight = F.round(F.coalesce("percentile", F.lit(0.0)) + F.col("counted"), 6).alias("weight")
+    return found.join(percentiles, "node", "left").select("node", "depth", "relation", "priority", weight)
+
+
+def context_neighbours(rel: Relations) -> DataFrame:
+    """Two hops around the member with most calls."""
+    return context_hops(rel, _one(rel.spark, _most(rel, "from_node", ("Calls",))), 2, rank_percentile(rel).select("node", "percentile"))
 
 
 def types_by_project(rel: Relations) -> DataFrame:
@@ -307,11 +331,14 @@ _CALLS: dict[str, tuple] = {
     ),
     "context_neighbors": (
         context_neighbours,
-        f"""WITH {EDGES_SQL}, s AS (SELECT {_most_sql('from_node', ('Calls', 'Calls'))} AS seed),
-            n AS (SELECT to_node AS node, edge_kind, edge_count, 0 AS back FROM edges, s WHERE from_node = seed AND coalesce(confidence, 0) <> 2
-                  UNION ALL SELECT from_node, edge_kind, edge_count, 1 FROM edges, s WHERE to_node = seed AND coalesce(confidence, 0) <> 2),
-            p AS (SELECT node, edge_kind, CAST(CASE WHEN edge_kind = 'Contains' THEN 0 WHEN edge_kind IN {_S} THEN 1 WHEN edge_kind = 'Calls' THEN 2 ELSE 3 END + 4 * back AS INTEGER) AS priority, round(ln(1 + edge_count) / 10, 6) AS weight FROM n)
-            SELECT node, priority, edge_kind, weight FROM p QUALIFY row_number() OVER (PARTITION BY node ORDER BY priority, weight DESC, edge_kind) = 1""",
+        f"""{RANK_SQL}, pc AS (SELECT node, round((row_number() OVER (ORDER BY rank, node) - 1) / (SELECT n - 1 FROM n), 6) AS percentile FROM ranked),
+            o AS (SELECT from_node, to_node, edge_kind, edge_count, CASE WHEN edge_kind = 'Contains' THEN 0 WHEN edge_kind IN {_S} THEN 1 WHEN edge_kind = 'Calls' THEN 2 ELSE 3 END AS p FROM edges WHERE coalesce(confidence, 0) <> 2),
+            l AS (SELECT from_node AS start, to_node AS node, edge_kind, p, edge_count FROM o UNION ALL SELECT to_node, from_node, edge_kind, p + 4, edge_count FROM o),
+            d0 AS (SELECT {_most_sql('from_node', ('Calls', 'Calls'))} AS node),
+            d1 AS (SELECT l.*, 1 AS depth FROM l JOIN d0 ON start = d0.node WHERE l.node NOT IN (SELECT node FROM d0)),
+            d2 AS (SELECT l.*, 2 AS depth FROM l WHERE start IN (SELECT node FROM d1) AND l.node NOT IN (SELECT node FROM d0 UNION ALL SELECT node FROM d1)),
+            b AS (SELECT *, ln(1 + edge_count) AS w FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY p, edge_count DESC, edge_kind) = 1)
+            SELECT b.node, depth, edge_kind AS relation, p AS priority, round(coalesce(percentile, 0) + w / 10, 6) AS weight FROM b LEFT JOIN pc ON pc.node = b.node""",
     ),
     "types_by_project": (types_by_project, f"WITH {EDGES_SQL} SELECT project, count(*) FILTER (WHERE kind IN {_TYPES}) AS types, count(*) AS symbols, count(DISTINCT file) AS files FROM sym GROUP BY project"),
     "namespace_topk": (

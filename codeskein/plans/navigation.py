@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codeskein.functions.text import glob_regex, is_test
 from codeskein.operators import navigation as nav
-from codeskein.relations import EDGES_SQL, RAW_SQL, SYM_SQL, Relations, certain
+from codeskein.operators.resolve import STAGES, resolve_symbols
+from codeskein.relations import EDGES_SQL, RAW_SQL, SYM_SQL, TYPE_KINDS, Relations, certain
 
 
 def busiest(rel: Relations) -> int:
@@ -68,9 +69,49 @@ def glob_match(rel: Relations) -> DataFrame:
     return rel.newest_sources.where(F.col("path").rlike(glob_regex("repos/**/*er.cs"))).select("path")
 
 
+def asked_symbols(rel: Relations) -> DataFrame:
+    """Strings of every form: ids, ids without parameters, names, names with their containers, places of references."""
+    s = rel.symbols
+    owner = s.select(F.col("id").alias("container_id"), F.col("name").alias("container"))
+    forms = F.array("id", F.regexp_extract("id", r"^([^(]*)\(", 1), "name", F.upper("name"), F.concat("container", F.lit("."), "name"), F.concat("namespace", F.lit("::"), "name"))
+    named = s.join(owner, "container_id", "left").select(F.explode(forms).alias("query"))
+    places = nav.reference_positions(rel).select(F.concat("file", F.lit(":"), "line").alias("query"))
+    return named.unionByName(places).unionByName(rel.externals.select(F.col("name").alias("query")))
+
+
+_CHAIN_SQL = """lower('/' || array_to_string(list_concat(CASE WHEN o.name IS NULL THEN [] ELSE [o.name] END,
+    list_reverse(list_filter(regexp_split_to_array(coalesce(s.namespace, ''), '\\.|::'), lambda x: x <> ''))), '/') || '/')"""
+_RESOLVE_SQL = f"""WITH {_SPANS},
+    ext AS (SELECT * FROM external_members QUALIFY row_number() OVER (PARTITION BY node ORDER BY id) = 1),
+    forms AS (SELECT unnest([s.id, regexp_extract(s.id, '^([^(]*)\\(', 1), s.name, upper(s.name), o.name || '.' || s.name, s.namespace || '::' || s.name]) AS query FROM sym s LEFT JOIN sym o ON o.id = s.container_id
+      UNION ALL SELECT file || ':' || line FROM at_line UNION ALL SELECT name FROM ext),
+    q AS (SELECT DISTINCT trim(query) AS query FROM forms WHERE trim(query) <> ''),
+    place AS (SELECT query, regexp_extract(query, '^(.+\\.[A-Za-z]+):(\\d+)$', 1) AS file, CAST(regexp_extract(query, '^(.+\\.[A-Za-z]+):(\\d+)$', 2) AS BIGINT) AS line FROM q WHERE regexp_matches(query, '^(.+\\.[A-Za-z]+):(\\d+)$')),
+    chained AS (SELECT s.seq AS node, lower(s.name) AS name, {_CHAIN_SQL} AS chain FROM sym s LEFT JOIN sym o ON o.id = s.container_id),
+    names AS (SELECT query, list_filter(regexp_split_to_array(lower(query), '\\.|::'), lambda x: x <> '') AS s FROM q),
+    named AS (SELECT query, s[-1] AS name, '/' || array_to_string(list_transform(list_reverse(s[1:-2]), lambda x: regexp_escape(x)), '/(?:.*/)?') || '/' AS pattern, len(s) AS n FROM names WHERE len(s) > 0),
+    whole AS (SELECT query, node FROM named JOIN chained USING (name) WHERE n = 1 OR regexp_matches(chain, pattern)),
+    hits AS (
+      SELECT query, node, 0 AS n FROM place JOIN spans ON spans.file = place.file AND "start" = line QUALIFY row_number() OVER (PARTITION BY query ORDER BY stop, node) = 1
+      UNION ALL SELECT query, to_node, 1 FROM (SELECT query, to_node, row_number() OVER (PARTITION BY query ORDER BY coalesce(confidence, 0), edge_id) AS r FROM place JOIN at_line ON at_line.file = place.file AND at_line.line = place.line WHERE to_node IS NOT NULL) WHERE r = 1
+      UNION ALL SELECT query, node, 2 FROM (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY "start" DESC, node) AS r FROM place JOIN spans ON spans.file = place.file AND "start" <= line AND line < stop) WHERE r = 1
+      UNION ALL SELECT query, seq, 3 FROM q JOIN sym ON id = query
+      UNION ALL SELECT query, seq, 4 FROM q JOIN sym ON contains(id, '~') AND regexp_replace(id, '~.*$', '') = query
+      UNION ALL SELECT DISTINCT query, seq, 5 FROM q JOIN (SELECT seq, unnest(list_filter(list_transform(range(1, len(id) + 1), lambda i: CASE WHEN substring(id, i, 1) IN ('(', '~', '`') THEN substring(id, 1, i - 1) END), lambda x: x IS NOT NULL)) AS head FROM sym) ON head = query
+      UNION ALL SELECT query, seq, 6 FROM q JOIN sym ON contains(id, '(') AND regexp_extract(id, '^([^(]*)\\(', 1) || '(' || regexp_replace(regexp_extract(id, '\\((.*)\\)', 1), '[\\w`.:]*[.:]([\\w`])', '\\1', 'g') || ')' = query
+      UNION ALL SELECT query, node, 7 FROM whole
+      UNION ALL SELECT query, node, 8 FROM (SELECT * FROM named WHERE query NOT IN (SELECT query FROM whole)) x JOIN chained ON contains(chained.name, x.name) WHERE n = 1 OR regexp_matches(chain, pattern)
+      UNION ALL SELECT query, node, 9 FROM q JOIN ext ON ext.id = query UNION ALL SELECT query, node, 9 FROM q JOIN ext ON ext.name = query),
+    best AS (SELECT DISTINCT * FROM hits QUALIFY n = min(n) OVER (PARTITION BY query)),
+    kinds AS (SELECT best.*, kind, id, container_id FROM best LEFT JOIN sym ON seq = node),
+    kept AS (SELECT k.*, coalesce(k.id, ext.id) AS any_id FROM kinds k LEFT JOIN ext USING (node) WHERE NOT (coalesce(k.kind, '') = 'Constructor' AND EXISTS (
+      SELECT 1 FROM kinds t WHERE t.query = k.query AND t.id = k.container_id AND t.kind IN {TYPE_KINDS})))
+    SELECT query, {list(STAGES)}[n + 1] AS stage, count(*) AS candidates, arg_min(node, (any_id, node)) AS node FROM kept GROUP BY query, n"""
+
 _FIND = "id, kind, name, project, file"
 
 _CALLS: dict[str, tuple] = {
+    "resolve_symbols": (lambda r: resolve_symbols(r, asked_symbols(r)), _RESOLVE_SQL),
     "edges": (lambda r: r.edges, f"WITH {EDGES_SQL} SELECT * FROM edges"),
     "edge_kind_counts": (
         edge_kind_counts,

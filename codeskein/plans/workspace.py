@@ -298,7 +298,8 @@ _CALLS: dict[str, tuple] = {
     ),
     "rebind_set": (
         lambda r: inc.files_to_bind(r, inc.changed_names(*edited(r))),
-        f"WITH {_PRINTS}, {RAW_SQL} SELECT DISTINCT f.file FROM raw JOIN sym f ON f.seq = from_node JOIN sym t ON t.seq = to_node WHERE t.name IN (SELECT name FROM diff)",
+        f"""WITH {_PRINTS}, {RAW_SQL}, {NEWEST_SQL}, w AS (SELECT DISTINCT newest.path, unnest(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{Nd}}_]*')) AS name FROM newest JOIN documents USING (doc_id))
+            SELECT path AS file FROM w WHERE name IN (SELECT name FROM diff) UNION SELECT f.file FROM raw JOIN sym f ON f.seq = from_node JOIN sym t ON t.seq = to_node WHERE t.name IN (SELECT name FROM diff)""",
     ),
     "debounced_batches": (
         lambda r: inc.debounced(r.table("source_documents").where("project IS NOT NULL"), "project", "loaded_at", "10 days"),
