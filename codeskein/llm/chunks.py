@@ -148,6 +148,22 @@ def _pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+#: Code points whose successor tables are held at a time; a longer text has them to itself.
+TOGETHER = 4_000_000
+
+
+def _bounded(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows of at most TOGETHER code points together, or of one row."""
+    begin, held = 0, 0
+    for i, n in enumerate(pdf["text"].str.len()):
+        if i > begin and held + n > TOGETHER:
+            yield pdf.iloc[begin:i].reset_index(drop=True)
+            begin, held = i, 0
+        held += n
+    if len(pdf) > begin:
+        yield pdf.iloc[begin:].reset_index(drop=True)
+
+
 _SCHEMA = "item_id long, piece int, start long, n_chars long, overlap_before long, code_line long, code string"
 
 
@@ -178,7 +194,7 @@ def split_oversized(items: DataFrame, overlap_share: float = 0.1, chars_per_toke
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield _pieces(pdf)
+            for part in _bounded(pdf):
+                yield _pieces(part)
 
     return ready.mapInPandas(split, _SCHEMA)
