@@ -45,18 +45,19 @@ def closure(seeds: DataFrame, links: DataFrame, max_depth: int | None = None) ->
 
 
 def pairs_closure(links: DataFrame) -> DataFrame:
-    """src, dst: every node and what it reaches in one or more steps along ``links`` (src, dst), itself left out.
+    """src, dst, depth: every node and what it reaches in one or more steps along ``links`` (src, dst), itself left out,
+    with the least number of steps.
 
     Only pairs found in the last round go on; the loop ends when a round finds none. As many rows come out as there are
     such pairs: meant for shallow links such as overrides.
     """
     links = materialize(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     heavy: HeavyKeys = heavy_keys(links, "src")
-    frontier = known = links
+    frontier = known = links.withColumn("depth", F.lit(1))
     steps = links.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    for depth in count(1):
+    for depth in count(2):
         step = skew_join(steps, frontier.select("src", F.col("dst").alias("at")), "at", "inner", heavy).select("src", F.col("next").alias("dst"))
-        frontier = materialize(step.where("src <> dst").distinct().join(known, ["src", "dst"], "left_anti"))
+        frontier = materialize(step.where("src <> dst").distinct().join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from codeskein.operators.order import numbered
 from codeskein.relations import Relations, certain, is_type
 from codeskein.session import materialize
 
@@ -206,8 +206,8 @@ def synchronous_communities(links: DataFrame, one_task_links: int = 0) -> DataFr
             break
         ends = links.join(level.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(level.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
         links = materialize(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
-    order = Window.orderBy(F.desc("size"), "community")
-    numbers = found.groupBy("community").agg(F.count(F.lit(1)).alias("size")).withColumn("number", F.row_number().over(order) - 1)
+    sizes = found.groupBy("community").agg((-F.count(F.lit(1))).alias("smaller"))
+    numbers = numbered(sizes, "smaller", "community").select("community", F.col("position").alias("number"))
     return found.join(numbers, "community").select("node", F.col("number").cast("long").alias("community"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from codeskein.functions.text import is_test
 from codeskein.operators.closure import closure, pagerank, pairs_closure, rank_links
 from codeskein.operators.communities import community_links, louvain_communities, modularity, type_links
+from codeskein.operators.hierarchy import implementation_links, override_links
+from codeskein.operators.order import numbered
 from codeskein.operators.skew import heavy_keys, skew_join
 from codeskein.relations import DISPATCH_KINDS, EDGES_SQL, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain, is_type
 from codeskein.session import materialize
@@ -89,13 +91,12 @@ def inherited_members(rel: Relations) -> DataFrame:
 
 
 def override_matches(rel: Relations) -> DataFrame:
-    """Members with the name and kind of a member of a direct base of their type."""
-    types = rel.symbols.where(is_type(F.col("kind"))).select("seq", "id")
-    pairs = rel.edges.where("edge_kind = 'Inherits'").select("from_node", "to_node")
-    pairs = pairs.join(types.select(F.col("seq").alias("from_node"), F.col("id").alias("type_id")), "from_node").join(types.select(F.col("seq").alias("to_node"), F.col("id").alias("base_id")), "to_node")
-    own = rel.symbols.select(F.col("container_id").alias("type_id"), F.col("id").alias("member_id"), "name", "kind")
-    base = rel.symbols.select(F.col("container_id").alias("base_id"), F.col("id").alias("base_member_id"), "name", "kind")
-    return pairs.join(own, "type_id").join(base, ["base_id", "name", "kind"]).select("member_id", "base_member_id").distinct()
+    """Members and what they override by name: see hierarchy.override_links; certain Inherits edges give the bases."""
+    return override_links(rel.symbols, _links(rel, ("Inherits",)))
+
+
+def interface_matches(rel: Relations) -> DataFrame:
+    return implementation_links(rel.symbols, _links(rel, ("Inherits",)), _links(rel, ("Implements",)))
 
 
 def implementation_counts(rel: Relations) -> DataFrame:
@@ -114,14 +115,9 @@ def rank_percentile(rel: Relations) -> DataFrame:
 
 
 def percentile(rows: DataFrame, by: str, tie: str) -> DataFrame:
-    """rows with ``percentile``: global positions from a range-partitioned sort, without sorting all in one task."""
-    sorted_rows = materialize(rows.repartitionByRange(by, tie).withColumn("__part", F.spark_partition_id()))
-    sizes = sorted_rows.groupBy("__part").count()
-    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("__n"))
-    inside = Window.partitionBy("__part").orderBy(by, tie)
-    placed = sorted_rows.join(F.broadcast(before), "__part").withColumn("__i", F.col("__before") + F.row_number().over(inside) - 1)
-    share = F.when(F.col("__n") <= 1, 1.0).otherwise(F.col("__i") / (F.col("__n") - 1))
-    return placed.select(*rows.columns, F.round(share, 6).alias("percentile"))
+    """rows with ``percentile``: place in the order of ``by`` and ``tie`` as a part of the last one's."""
+    share = F.when(F.col("total") <= 1, 1.0).otherwise(F.col("position") / (F.col("total") - 1))
+    return numbered(rows, by, tie).select(*rows.columns, F.round(share, 6).alias("percentile"))
 
 
 def impact(rel: Relations, depth: int = IMPACT_DEPTH) -> DataFrame:
@@ -268,6 +264,12 @@ RANK_SQL = f"""WITH RECURSIVE {EDGES_SQL},
         FROM pr p LEFT JOIN tot t ON t.a = p.id WHERE p.it < 40) u GROUP BY it, id),
     ranked AS (SELECT id AS node, round(v, 9) AS rank FROM pr WHERE it = 40)"""
 
+_MEMBERS_SQL = f"""members AS (SELECT t.seq AS type, m.seq, m.id, m.name, m.kind, m.modifiers, m.accessibility, list_transform(coalesce(m.parameters, []), lambda p: coalesce(p.type, '')) AS types
+      FROM sym m JOIN sym t ON t.id = m.container_id WHERE t.kind IN {_TYPES} AND m.kind NOT IN {_TYPES} AND m.kind <> 'Constructor')"""
+_PAIRS_SQL = """up AS (SELECT DISTINCT from_node AS src, to_node AS dst FROM edges WHERE edge_kind = 'Inherits'),
+    pairs(src, dst, depth) USING KEY (src, dst) AS (SELECT src, dst, 1 FROM up
+      UNION SELECT p.src, up.dst, min(p.depth) + 1 FROM pairs p JOIN up ON p.dst = up.src WHERE p.src <> up.dst AND (p.src, up.dst) NOT IN (SELECT (src, dst) FROM recurring.pairs) GROUP BY p.src, up.dst)"""
+
 _CALLS: dict[str, tuple] = {
     "type_hierarchy_bases": (bases, _walk_sql(f"SELECT {_most_sql('from_node', _H)} AS node, 0 AS depth", _UP.format(_H)) + " SELECT * FROM reached WHERE depth > 0"),
     "derived_depth": (derived, _walk_sql(f"SELECT {_most_sql('to_node', _H)} AS node, 0 AS depth", _DOWN.format(_H)) + " SELECT * FROM reached WHERE depth > 0"),
@@ -292,8 +294,17 @@ _CALLS: dict[str, tuple] = {
     ),
     "override_match": (
         override_matches,
-        f"""WITH {EDGES_SQL} SELECT DISTINCT m.id AS member_id, b.id AS base_member_id FROM edges JOIN sym t ON t.seq = from_node AND t.kind IN {_TYPES} JOIN sym u ON u.seq = to_node AND u.kind IN {_TYPES}
-            JOIN sym m ON m.container_id = t.id JOIN sym b ON b.container_id = u.id AND b.name = m.name AND b.kind = m.kind WHERE edge_kind = 'Inherits'""",
+        f"""WITH RECURSIVE {EDGES_SQL}, {_MEMBERS_SQL}, {_PAIRS_SQL}
+            SELECT m.id AS member_id, arg_min(b.id, (depth, b.seq)) AS base_member_id, CAST(min(depth) AS INTEGER) AS depth FROM pairs JOIN members m ON m.type = src JOIN members b ON b.type = dst AND b.name = m.name AND b.kind = m.kind AND b.types = m.types
+            WHERE NOT list_contains(m.modifiers, 'static') AND list_has_any(b.modifiers, ['virtual', 'abstract', 'override']) GROUP BY m.id""",
+    ),
+    "interface_match": (
+        interface_matches,
+        f"""WITH RECURSIVE {EDGES_SQL}, {_MEMBERS_SQL}, {_PAIRS_SQL},
+            faces AS (SELECT DISTINCT from_node AS type, to_node AS face FROM edges WHERE edge_kind = 'Implements'),
+            homes AS (SELECT type, face, type AS home, 0 AS depth FROM faces UNION ALL SELECT type, face, dst, depth FROM faces JOIN pairs ON src = type)
+            SELECT h.type, i.id AS interface_member_id, arg_min(m.id, (h.depth, m.seq)) AS member_id FROM homes h JOIN members i ON i.type = h.face JOIN members m ON m.type = h.home AND m.name = i.name AND m.kind = i.kind AND m.types = i.types
+            WHERE lower(m.accessibility) = 'public' AND NOT list_contains(m.modifiers, 'static') GROUP BY h.type, i.id""",
     ),
     "implementation_counts": (
         implementation_counts,

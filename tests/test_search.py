@@ -1,6 +1,7 @@
 from compare import FOLDER
 
 from codeskein.operators import search
+from codeskein.operators.search import bm25, bm25_top, top_hits
 from codeskein.plans.graph import rank_percentile
 from codeskein.plans.search import search_quality
 from codeskein.relations import Relations
@@ -8,13 +9,27 @@ from codeskein.relations import Relations
 
 def test_search_quality_ranks_by_centrality_too(spark, monkeypatch):
     """The ranking asked for has the percentile of every symbol."""
-    given, plain = [], search.bm25
+    given, plain = [], search.bm25_top
 
-    def noted(rel, queries, percentiles=None):
+    def noted(rel, queries, limit, percentiles=None):
         given.append(percentiles)
-        return plain(rel, queries, percentiles)
+        return plain(rel, queries, limit, percentiles)
 
-    monkeypatch.setattr(search, "bm25", noted)
+    monkeypatch.setattr(search, "bm25_top", noted)
     rel = Relations(spark, FOLDER)
-    assert search_quality(rel).first()["queries"] > 0
+    quality = search_quality(rel).first()
+    assert quality["questions"] > 0 and quality["hit_at_5"] >= 0.8
     assert given[0].orderBy("node").collect() == rank_percentile(rel).select("node", "percentile").orderBy("node").collect()
+
+
+def test_pruned_ranking_is_that_of_all_symbols(spark):
+    rel = Relations(spark, "/root/testdata/sf0.001")
+    ranks = spark.createDataFrame([(1000 + i, (i * 37 % 160) / 160) for i in range(160)], "node long, percentile double")
+    words = [r["name"] for r in rel.symbols.select("name").orderBy("seq").limit(40).collect()]
+    rows = [(w,) for w in words] + [(f"{a} {b}",) for a, b in zip(words, words[7:])] + [("get the loader of needle",), ("zzz",), ("",), (None,)]
+    queries = spark.createDataFrame(rows, "query string").where("query IS NOT NULL")
+    for limit in (1, 5):
+        every = top_hits(bm25(rel, queries, ranks), limit)
+        pruned = bm25_top(rel, queries, limit, ranks)
+        columns = ("query", "node", "score", "place")
+        assert sorted((*[r[c] for c in columns], *r["matched"]) for r in pruned.collect()) == sorted((*[r[c] for c in columns], *r["matched"]) for r in every.collect())
