@@ -71,7 +71,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -79,7 +79,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that ``materialize`` wrote in this context; results that read them can't be used after."""
-    fs, at = _file_system(spark, f"{_shared_folder(spark)}/table-*")
+    fs, at = file_system(spark, f"{_shared_folder(spark)}/table-*")
     for found in fs.globStatus(at) or []:
         fs.delete(found.getPath(), True)
 
@@ -105,7 +105,7 @@ def ship_package(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         target = f"{shared.rstrip('/')}/package-{uuid.uuid4().hex}/codeskein.zip"
-        fs, at = _file_system(spark, target)
+        fs, at = file_system(spark, target)
         out = fs.create(at)
         out.write(packed.getvalue())
         out.close()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -38,23 +38,43 @@ class FileState:
     """The last known state of every file (path, hash, project), updated by micro-batches.
 
     ``apply`` is for foreachBatch: the newest event of each path in the batch is merged with the state, a new
-    version is written and becomes current at once; readers keep the version they read. Applying a batch again
-    changes nothing.
+    version is written and becomes current at once; readers keep the version they read. The version notes the batch, so
+    applying a batch of a stream again changes nothing.
     """
 
     def __init__(self, store: SnapshotStore, on_change: Callable[[DataFrame], None] | None = None):
         self.store, self.on_change = store, on_change
 
-    def apply(self, events: DataFrame, batch_id: int) -> None:
-        """events: path, hash (null: deleted), project, at."""
-        spark = events.sparkSession
-        newest = events.groupBy("path").agg(F.max_by(F.struct("hash", "project"), F.struct("at", "hash")).alias("x")).select("path", "x.*")
+    def _known(self, spark: SparkSession) -> tuple[DataFrame, dict[str, int]]:
         known, _ = self.store.load(spark)
-        before = known["files"] if known else newest.select("path", "hash", "project").limit(0)
+        if known is None:
+            return spark.createDataFrame([], "path string, hash string, project string"), {}
+        return known["files"], (self.store.manifest(spark) or {}).get("applied", {})
+
+    def apply(self, events: DataFrame, batch_id: int, stream: str = "") -> None:
+        """events: path, hash (null: deleted), project, at."""
+        before, applied = self._known(events.sparkSession)
+        if applied.get(stream, -1) >= batch_id:
+            return
+        newest = events.where("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct("hash", "project"), F.struct("at", "hash")).alias("x")).select("path", "x.*")
         after = before.join(newest, "path", "left_anti").unionByName(newest.where("hash IS NOT NULL"))
+        self._become(before, after, {**applied, stream: batch_id})
+
+    def _become(self, before: DataFrame, after: DataFrame, applied: dict[str, int]) -> None:
         if self.on_change:
             self.on_change(document_changes(before, after).where("change <> 'unchanged'"))
-        self.store.save({"files": after})
+        self.store.save({"files": after}, applied)
+
+    def reconcile(self, files: DataFrame) -> None:
+        """Take ``files`` (path, hash, project; one row per path) as they are now, after a start or when events were
+        lost: what differs from the state goes the way of any change."""
+        before, applied = self._known(files.sparkSession)
+        self._become(before, files.where("path IS NOT NULL AND hash IS NOT NULL").select("path", "hash", "project"), applied)
 
     def follow(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
-        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+        return stream.writeStream.foreachBatch(lambda events, n: self.apply(events, n, checkpoint)).option("checkpointLocation", checkpoint)
+
+    def current(self, stream: DataFrame, checkpoint: str) -> DataFrame:
+        """The state after everything that has arrived by now: what a query that must see its own writes reads."""
+        self.follow(stream, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return self._known(stream.sparkSession)[0]

@@ -50,3 +50,27 @@ def test_changes_are_null_safe(spark):
     a = spark.createDataFrame([("x", None, "p"), ("y", "1", None)], "path string, hash string, project string")
     b = spark.createDataFrame([("x", None, "p"), ("y", "1", "p")], "path string, hash string, project string")
     assert {tuple(r) for r in document_changes(a, b).collect()} == {("x", "unchanged"), ("y", "changed")}
+
+
+def test_a_batch_applied_again_changes_nothing_and_lost_events_are_made_up(spark, tmp_path):
+    seen, store = [], SnapshotStore(str(tmp_path / "state"))
+    state = FileState(store, lambda changes: seen.append(sorted((r["path"], r["change"]) for r in changes.collect())))
+    first = spark.createDataFrame([("a", "1", "p", ms(0)), (None, "1", "p", ms(0))], EVENTS)
+    state.apply(first, 0, "s")
+    state.apply(spark.createDataFrame([("a", "2", "p", ms(1))], EVENTS), 1, "s")
+    version = store.manifest(spark)["version"]
+    state.apply(first, 0, "s")
+    assert store.manifest(spark)["version"] == version and len(seen) == 2
+    state.reconcile(spark.createDataFrame([("a", "2", "p"), ("b", "1", "p"), ("c", None, "p")], "path string, hash string, project string"))
+    assert seen[2:] == [[("b", "new")]] and store.manifest(spark)["applied"] == {"s": 1}
+    for n in range(2, 6):
+        state.apply(first, n, "s")
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == SnapshotStore.KEPT + 1
+
+
+def test_a_query_sees_what_was_written_before_it(spark, tmp_path):
+    source, state = str(tmp_path / "in"), FileState(SnapshotStore(str(tmp_path / "state")))
+    for n in range(2):
+        spark.createDataFrame([(f"f{n}", "1", "p", ms(n))], EVENTS).coalesce(1).write.mode("append").parquet(source)
+        files = state.current(spark.readStream.schema(EVENTS).parquet(source), str(tmp_path / "c"))
+        assert {r["path"] for r in files.collect()} == {f"f{k}" for k in range(n + 1)}
