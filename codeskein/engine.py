@@ -13,6 +13,7 @@ from codeskein.plans import graph, workspace
 from codeskein.plans import navigation as listed
 from codeskein.relations import DISPATCH_KINDS, HIERARCHY_KINDS, STRUCTURAL_KINDS, Relations, certain, is_type
 from codeskein.sources.files import Annotations
+from codeskein.sources.workspace import load_workspace
 
 MOST_CANDIDATES = 20
 #: Neighbours of which a context is chosen.
@@ -54,7 +55,12 @@ class CodeGraph:
     def workspace_status(self) -> DataFrame:
         return workspace.status(self.rel)
 
-    workspace_load = workspace_status
+    @classmethod
+    def workspace_load(cls, spark: SparkSession, root: str, folder: str, notes: str | None = None, configuration: str = "Debug") -> tuple[CodeGraph, DataFrame]:
+        """Read the solution, project or folder at ``root`` into tables below ``folder``: the graph over them, and a
+        report per project."""
+        report = load_workspace(spark, root, folder, configuration)
+        return cls(spark, folder, notes), report
 
     def diagnostics(self, project: str | None = None, file: str | None = None, limit: int = 50) -> DataFrame:
         found = workspace.problems(self.rel)
@@ -101,14 +107,14 @@ class CodeGraph:
     def find_references(self, symbol: str, limit: int = 200, offset: int = 0, implementations: bool = True, name_only: bool = False) -> DataFrame:
         node = self.resolve(symbol)
         family = self._family(node) if implementations else self._start(node)
-        refs = navigation.with_caller(self.rel, self.rel.references.join(family.withColumnRenamed("node", "to_node"), "to_node", "left_semi"))
+        refs = navigation.with_caller(self.rel, self.rel.references.where("edge_kind <> 'Contains'").join(family.withColumnRenamed("node", "to_node"), "to_node", "left_semi"))
         refs = refs if name_only else refs.where(certain(F.col("confidence")))
         return refs.orderBy("file", "first_line", "edge_id").offset(max(0, offset)).limit(max(0, limit)).select("edge_id", "caller", "file", "first_line", "confidence", is_test(F.col("file")).alias("is_test"))
 
     def find_callers(self, symbol: str, limit: int = 50, offset: int = 0, tests: bool = True, name_only: bool = False) -> DataFrame:
         node = self.resolve(symbol)
         called = closure(self._start(node), graph._links(self.rel, DISPATCH_KINDS))
-        refs = self.rel.references.join(called.select(F.col("node").alias("to_node"), (F.col("depth") > 0).alias("indirect")), "to_node")
+        refs = self.rel.references.where("edge_kind <> 'Contains'").join(called.select(F.col("node").alias("to_node"), (F.col("depth") > 0).alias("indirect")), "to_node")
         refs = navigation.with_caller(self.rel, refs if name_only else refs.where(certain(F.col("confidence"))))
         refs = refs if tests else refs.where(~is_test(F.col("file")))
         return refs.orderBy("file", "first_line", "edge_id").offset(max(0, offset)).limit(max(0, limit)).select("edge_id", "caller", "file", "first_line", "indirect")
