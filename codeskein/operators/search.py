@@ -98,7 +98,7 @@ def word_parts(rel: Relations, words: DataFrame, percentiles: DataFrame | None =
     index = index.join(nodes.select("node", "length", node_weight.alias("node_weight")), "node")
     tf = F.col("frequency") * (K1 + 1) / (F.col("frequency") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
     idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    met = skew_join(spelled, index.select("node", "term", tf.alias("tf"), "node_weight"), "term", "inner")
+    met = skew_join(index.select("node", "term", tf.alias("tf"), "node_weight"), spelled, "term", "inner")
     return met.groupBy("asked", "node").agg((F.max(F.col("factor") * idf * F.col("tf")) * F.first("node_weight")).alias("part"))
 
 
@@ -156,7 +156,7 @@ def _top_of_words(rel: Relations, words: DataFrame, parts: DataFrame, best: Data
     ranked = ranked.withColumn("together", F.sum("most").over(of_words.orderBy("most", "asked").rowsBetween(Window.unboundedPreceding, 0)))
     needed = F.col("reached") - (F.sum("most").over(of_words) - F.col("most")) - ROUNDING
     ranked = materialize(ranked.withColumn("needed", needed).withColumn("telling", F.col("together") >= F.col("reached") - ROUNDING))
-    told = skew_join(ranked.where("telling").select("set", "asked", "needed", "reached"), parts, "asked", "inner").where(F.col("part") >= F.col("needed")).select("set", "node", "part", "reached")
+    told = skew_join(parts, ranked.where("telling").select("set", "asked", "needed", "reached"), "asked", "inner").where(F.col("part") >= F.col("needed")).select("set", "node", "part", "reached")
     others = ranked.where("NOT telling").select("set", "asked")
     looked_up = told.select("set", "node", "reached").distinct().join(others, "set").join(parts, ["asked", "node"]).select("set", "node", "part", "reached")
     scores = told.unionByName(looked_up).groupBy("set", "node").agg(F.sum("part").alias("score"), F.max("reached").alias("reached"))
