@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeskein.functions.text import is_test, terms
-from codeskein.operators.skew import skew_join
+from codeskein.functions.text import STOP_WORDS, is_test, terms, words
+from codeskein.operators.skew import heavy_keys, skew_join
 from codeskein.relations import Relations, is_type
-from codeskein.session import materialize
+from codeskein.session import materialize, shuffle_width
 
 K1, B = 1.2, 0.75
 COMPLETIONS, COMPLETION_FACTOR, LEAST_PREFIX = 30, 0.4, 3
@@ -19,6 +24,9 @@ FIELD_WEIGHTS = {"name": 6.0, "container": 2.0, "namespace": 1.0, "signature": 1
 BODY_WEIGHT, MEMBER_WEIGHT = 1.0, 0.5
 #: Scores are rounded to three places, so nodes this close to a limit may still change places.
 ROUNDING = 0.002
+#: Parts of symbols ranked by one task at most (about), and those that are worth a task; sets of words that meet them at once.
+SHARD_ROWS, LEAST_SHARD_ROWS, CHUNK_SETS = 2_000_000, 50_000, 1_000_000
+KINDS = [("set", pa.int64()), ("node", pa.int64()), ("score", pa.float64()), ("matched", pa.list_(pa.string()))]
 
 
 def bodies(rel: Relations) -> DataFrame:
@@ -28,17 +36,30 @@ def bodies(rel: Relations) -> DataFrame:
     return rel.symbols.where(~is_type(F.col("kind"))).select(F.col("seq").alias("node")).join(newest, "node")
 
 
-def postings(rel: Relations) -> DataFrame:
-    """node, term, frequency: term occurrences weighted by field."""
+def held_words(rel: Relations) -> DataFrame:
+    """node, word, weight: the words of a symbol's fields as they are written, with the weights of all their places added up."""
     owner = rel.symbols.select(F.col("id").alias("container_id"), F.col("name").alias("container"))
     stem_of_file = F.regexp_extract("file", r"([^/\\]+?)(?:\.[^./\\]*)*$", 1)
     rows = rel.symbols.join(owner, "container_id", "left").withColumn("file", stem_of_file).withColumn("documentation", F.coalesce("summary", "documentation"))
-    fields = F.array(*[F.struct(terms(F.col(f)).alias("terms"), F.lit(w).alias("weight")) for f, w in FIELD_WEIGHTS.items()])
-    own = rows.select(F.col("seq").alias("node"), F.explode(fields).alias("f")).select("node", F.explode("f.terms").alias("term"), "f.weight")
-    body = bodies(rel).select("node", F.explode(terms(F.col("body"))).alias("term"), F.lit(BODY_WEIGHT).alias("weight"))
+    fields = F.array(*[F.struct(words(F.col(f)).alias("words"), F.lit(w).alias("weight")) for f, w in FIELD_WEIGHTS.items()])
+    own = rows.select(F.col("seq").alias("node"), F.explode(fields).alias("f")).select("node", F.explode("f.words").alias("word"), "f.weight")
+    body = bodies(rel).select("node", F.explode(words(F.col("body"))).alias("word"), F.lit(BODY_WEIGHT).alias("weight"))
     types = rel.symbols.where(is_type(F.col("kind"))).select(F.col("id").alias("container_id"), F.col("seq").alias("node"))
-    members = rel.symbols.join(types, "container_id").select("node", F.explode(terms(F.col("name"))).alias("term"), F.lit(MEMBER_WEIGHT).alias("weight"))
-    return own.unionByName(body).unionByName(members).groupBy("node", "term").agg(F.sum("weight").alias("frequency"))
+    members = rel.symbols.join(types, "container_id").select("node", F.explode(words(F.col("name"))).alias("word"), F.lit(MEMBER_WEIGHT).alias("weight"))
+    # a stop word in small letters has no parts, so nothing of it is indexed
+    return own.unionByName(body).unionByName(members).where(~F.col("word").isin(*STOP_WORDS)).groupBy("node", "word").agg(F.sum("weight").alias("weight"))
+
+
+def word_terms(held: DataFrame) -> DataFrame:
+    """word, term, times: the terms of every distinct word, worked out once for all symbols that hold it."""
+    distinct = held.select("word").distinct().repartition(shuffle_width(held.sparkSession))
+    return distinct.select("word", F.explode(terms(F.col("word"))).alias("term")).groupBy("word", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def postings(rel: Relations) -> DataFrame:
+    """node, term, frequency: term occurrences weighted by field."""
+    held = materialize(held_words(rel))
+    return held.join(word_terms(held), "word").groupBy("node", "term").agg(F.sum(F.col("weight") * F.col("times")).alias("frequency"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -78,28 +99,43 @@ def _squeezed(query: str | Column) -> Column:
 
 
 def word_parts(rel: Relations, words: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
-    """asked, node, part: what each asked word (term) adds to the score of each symbol that holds it or a completion.
+    """asked, node, part: what each asked word (term) adds to the score of each symbol that holds it or a completion."""
+    known = materialize(words.select(F.col("term").alias("asked")).distinct().withColumn("word", F.monotonically_increasing_id()))
+    return _parts(rel, known, percentiles).join(known, "word").select("asked", "node", "part")
+
+
+def _parts(rel: Relations, known: DataFrame, percentiles: DataFrame | None = None) -> DataFrame:
+    """word, node, part: those parts by the number of the asked word. known: asked, word.
 
     It doesn't depend on the query, so it is worked out once for all; the symbol's own weight, lower in tests and raised
-    by the percentile (node, percentile), is in it. A term that many words complete to, or many symbols hold, is joined
-    as a heavy key.
+    by the percentile (node, percentile), is in it. Of all terms only those that are asked for are told by symbol; the
+    others count in its length, which is the row without a term. A term that many words complete to, or many symbols
+    hold, is joined as a heavy key.
     """
-    index = materialize(postings(rel))
-    length = lengths(index)
+    held = materialize(held_words(rel))
+    told = materialize(word_terms(held))
+    spelled = completions(known.select(F.col("asked").alias("query"), F.col("asked").alias("term")), told.select("term").distinct())
+    spelled = materialize(spelled.join(known, "asked").select("word", "term", "factor"))
+    wanted = told.join(spelled.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left")
+    each = F.collect_list(F.when(F.col("wanted"), F.struct("term", "times")))
+    counted = wanted.groupBy("word").agg(F.concat(each, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.sum("times").alias("times")))).alias("terms"))
+    index = held.join(counted, "word").select("node", "weight", F.explode("terms").alias("t"))
+    index = materialize(index.groupBy("node", F.col("t.term").alias("term")).agg(F.sum(F.col("weight") * F.col("t.times")).alias("frequency")))
+    length = index.where("term IS NULL").select("node", F.col("frequency").alias("length"))
+    index = index.where("term IS NOT NULL")
     n, mean = length.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg("length"))).first()
-    holders = materialize(document_frequencies(index))
-    words = words.select("term").distinct()
-    spelled = completions(words.withColumn("query", F.col("term")), holders).select("asked", "term", "factor").join(holders, "term")
+    idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
+    spelled = materialize(spelled.join(document_frequencies(index), "term").select("word", "term", "factor", idf.alias("idf")))
     node_weight = F.when(is_test(F.col("file")), TEST_WEIGHT).otherwise(1.0)
     nodes = rel.symbols.select(F.col("seq").alias("node"), "file").join(length, "node")
     if percentiles is not None:
         nodes = nodes.join(percentiles, "node", "left")
         node_weight = node_weight * (1 + RANK_BOOST * F.coalesce("percentile", F.lit(0.0)))
-    index = index.join(nodes.select("node", "length", node_weight.alias("node_weight")), "node")
+    nodes = materialize(nodes.select("node", "length", node_weight.alias("node_weight")))
     tf = F.col("frequency") * (K1 + 1) / (F.col("frequency") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    met = skew_join(index.select("node", "term", tf.alias("tf"), "node_weight"), spelled, "term", "inner")
-    return met.groupBy("asked", "node").agg((F.max(F.col("factor") * idf * F.col("tf")) * F.first("node_weight")).alias("part"))
+    heavy = heavy_keys(index, "term")
+    met = skew_join(index.join(nodes, "node").select("node", "term", tf.alias("tf"), "node_weight"), spelled, "term", "inner", heavy)
+    return met.groupBy("word", "node").agg((F.max(F.col("factor") * F.col("idf") * F.col("tf")) * F.first("node_weight")).alias("part"))
 
 
 def _scored(rel: Relations, parts: DataFrame, key: str = "query") -> DataFrame:
@@ -128,44 +164,103 @@ def bm25_top(rel: Relations, queries: DataFrame, limit: int, percentiles: DataFr
     query are among them and the best of its words.
     """
     asked = materialize(query_terms(queries).withColumnRenamed("term", "asked"))
-    parts = materialize(word_parts(rel, asked.select(F.col("asked").alias("term")), percentiles))
-    best = parts.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("part")))).where(F.col("n") <= limit)
-    best = materialize(best.groupBy("asked").agg(F.max("part").alias("most"), F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached")))
-    held = materialize(skew_join(asked, best.select("asked"), "asked", "inner"))
-    by_words = materialize(held.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("asked")), " ").alias("words")))
-    common = _top_of_words(rel, by_words.select("words").distinct(), parts, best, limit)
-    found = skew_join(by_words, common, "words", "inner").select("query", "node", "id", "matched", "score", "name")
-    names = rel.symbols.select(F.lower("name").alias("squeezed"), F.col("seq").alias("node"))
-    named = skew_join(by_words.select("query", _squeezed("query").alias("squeezed")), names, "squeezed", "inner").select("query", "node")
-    named = _scored(rel, named.join(held, "query").join(parts, ["asked", "node"]))
+    known = materialize(asked.select("asked").distinct().withColumn("word", F.monotonically_increasing_id()))
+    parts = materialize(_parts(rel, known, percentiles))
+    best = parts.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("part")))).where(F.col("n") <= limit)
+    best = best.groupBy("word").agg(F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached"))
+    held = skew_join(asked, materialize(known.join(best, "word")), "asked", "inner")
+    of_query = held.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("asked", "word"))).alias("held"), F.coalesce(F.max("reached"), F.lit(0.0)).alias("reached"))
+    of_query = materialize(of_query.select("query", F.array_join("held.asked", " ").alias("words"), F.col("held.word").alias("numbers"), "reached"))
+    sets = of_query.groupBy("words").agg(F.first("numbers").alias("numbers"), F.first("reached").alias("reached"))
+    sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()))
+    by_set = materialize(skew_join(of_query.select("query", "words"), sets.select("words", "set"), "words", "inner").select("query", "set"))
+    symbols = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
+    order = Window.partitionBy("set").orderBy(F.desc("rounded"), "id")
+    common = _best_of_sets(sets, parts, limit).withColumn("rounded", F.bround("score", 3)).join(symbols, "node")
+    common = materialize(common.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "matched", "score", "name"))
+    found = skew_join(by_set, common, "set", "inner").select("query", "node", "id", "matched", "score", "name")
+    names = symbols.select(F.lower("name").alias("squeezed"), "node")
+    named = skew_join(of_query.select("query", "words", "numbers", _squeezed("query").alias("squeezed")), names, "squeezed", "inner")
+    named = named.select("query", "node", F.explode(F.arrays_zip(F.split("words", " ").alias("asked"), F.col("numbers").alias("word"))).alias("w")).select("query", "node", "w.asked", "w.word")
+    named = _scored(rel, named.join(parts, ["word", "node"]))
     either = found.unionByName(named.select(*found.columns)).dropDuplicates(["query", "node"])
     return top_hits(_boosted(either), limit)
 
 
-def _top_of_words(rel: Relations, words: DataFrame, parts: DataFrame, best: DataFrame, limit: int) -> DataFrame:
-    """words, node, id, matched, score, name: the ``limit`` best symbols of every set of asked words (joined by spaces).
+def _best_of_sets(sets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """set, node, score, matched: the ``limit`` best symbols of every set of asked words, and some behind them.
 
-    The limit-th best part of a set's best word is a score that ``limit`` symbols reach. Words whose greatest parts,
-    added up from the least, stay below that can't bring a symbol among them by themselves. Neither can a symbol whose
-    part of a word stays below it even with the greatest parts of all other words. Only what is left is scored; the
-    other words are looked up for it.
+    sets: set, words (joined by spaces), numbers (of the words, in their order), reached: a score that ``limit`` symbols
+    reach, 0 if unknown. The symbols are dealt to shards; each ranks its own for all sets. Parts in a shard and sets
+    that meet it at once are bounded, so that a task's memory is; what is left out lies below ``reached`` or below
+    ``limit`` symbols of the shard by more than rounding can change.
     """
-    asked = words.select(F.xxhash64("words").alias("set"), F.explode(F.split("words", " ")).alias("asked"))
-    of_words = Window.partitionBy("set")
-    ranked = skew_join(asked, best, "asked", "inner").withColumn("reached", F.coalesce(F.max("reached").over(of_words), F.lit(0.0)))
-    ranked = ranked.withColumn("together", F.sum("most").over(of_words.orderBy("most", "asked").rowsBetween(Window.unboundedPreceding, 0)))
-    needed = F.col("reached") - (F.sum("most").over(of_words) - F.col("most")) - ROUNDING
-    ranked = materialize(ranked.withColumn("needed", needed).withColumn("telling", F.col("together") >= F.col("reached") - ROUNDING))
-    told = skew_join(parts, ranked.where("telling").select("set", "asked", "needed", "reached"), "asked", "inner").where(F.col("part") >= F.col("needed")).select("set", "node", "part", "reached")
-    others = ranked.where("NOT telling").select("set", "asked")
-    looked_up = told.select("set", "node", "reached").distinct().join(others, "set").join(parts, ["asked", "node"]).select("set", "node", "part", "reached")
-    scores = told.unionByName(looked_up).groupBy("set", "node").agg(F.sum("part").alias("score"), F.max("reached").alias("reached"))
-    scores = scores.where(F.col("score") >= F.col("reached") - ROUNDING).withColumn("rounded", F.bround("score", 3))
-    order = Window.partitionBy("set").orderBy(F.desc("rounded"), "id")
-    names = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
-    top = materialize(scores.join(names, "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "score", "name"))
-    matched = top.select("set", "node").join(ranked.select("set", "asked"), "set").join(parts, ["asked", "node"]).groupBy("set", "node").agg(F.array_sort(F.collect_set("asked")).alias("matched"))
-    return words.withColumn("set", F.xxhash64("words")).join(top, "set").join(matched, ["set", "node"]).select("words", "node", "id", "matched", "score", "name")
+    rows, asked = parts.count(), sets.count()
+    shards = max(math.ceil(rows / SHARD_ROWS), min(parts.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / LEAST_SHARD_ROWS)), 1)
+    chunks = max(1, math.ceil(asked / CHUNK_SETS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).withColumn("chunk", each(chunks))
+    given = sets.withColumn("chunk", F.pmod(F.xxhash64("set"), F.lit(chunks)).cast("int")).withColumn("shard", each(shards))
+    kinds = "set long, node long, score double, matched array<string>"
+    return dealt.groupBy("shard", "chunk").cogroup(given.groupBy("shard", "chunk")).applyInArrow(_best_of_shard(limit), kinds)
+
+
+def _best_of_shard(limit: int):
+    def run(parts: pa.Table, sets: pa.Table) -> pa.Table:
+        word, node, part = (parts[c].to_numpy() for c in ("word", "node", "part"))
+        nodes, place = np.unique(node, return_inverse=True)
+        order = np.lexsort((place, word))
+        place, part = place[order], part[order]
+        held, first = np.unique(word[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        numbers = sets["numbers"].combine_chunks()
+        bounds = np.append(0, np.cumsum(pc.list_value_length(numbers).to_numpy())) if len(numbers) else np.zeros(1, int)
+        wanted = numbers.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(held, wanted), max(len(held) - 1, 0))
+        present = held[at] == wanted if len(held) else np.zeros(len(wanted), bool)
+        low, high = (x[at] if len(held) else at for x in (first, ends))
+        low, high, present, bounds = low.tolist(), high.tolist(), present.tolist(), bounds.tolist()
+        least = (sets["reached"].to_numpy() - ROUNDING).tolist()
+        total = np.zeros(len(nodes))
+        found: list[tuple] = []  # index of the set, places, scores
+        met: list[tuple] = []  # matched words: how many for each place, and their indices
+        for k, floor in enumerate(least):
+            mine = [j for j in range(bounds[k], bounds[k + 1]) if present[j]]
+            lists = [place[low[j] : high[j]] for j in mine]
+            if len(mine) == 1:
+                score = part[low[mine[0]] : high[mine[0]]]
+                of = np.flatnonzero(score >= floor)
+                of, score = lists[0][of], score[of]
+            elif mine:
+                for j, x in zip(mine, lists):
+                    total[x] += part[low[j] : high[j]]
+                of = np.concatenate([x[total[x] >= floor] for x in lists])
+                of = np.unique(of) if len(of) else of
+                score = total[of]
+                for x in lists:
+                    total[x] = 0.0
+            if not mine or not len(of):
+                continue
+            if len(of) > limit:
+                near = score >= np.partition(score, -limit)[-limit] - ROUNDING
+                of, score = of[near], score[near]
+            if len(mine) == 1:
+                has, which = np.ones(len(of), int), np.full(len(of), mine[0])
+            else:
+                hit = np.array([x[np.minimum(np.searchsorted(x, of), len(x) - 1)] == of for x in lists]).T
+                has, which = hit.sum(1), np.array(mine)[np.nonzero(hit)[1]]
+            found.append((k, of, score))
+            met.append((has, which))
+        if not found:
+            return pa.schema(KINDS).empty_table()
+        several = np.repeat([k for k, _, _ in found], [len(x) for _, x, _ in found])
+        texts = pc.split_pattern(sets["words"].combine_chunks(), " ").flatten()
+        offsets = np.append(0, np.cumsum(np.concatenate([h for h, _ in met]))).astype(np.int32)
+        matched = pa.ListArray.from_arrays(pa.array(offsets), texts.take(pa.array(np.concatenate([w for _, w in met]))))
+        columns = [pa.array(sets["set"].to_numpy()[several]), pa.array(nodes[np.concatenate([x for _, x, _ in found])]), pa.array(np.concatenate([x for _, _, x in found])), matched]
+        return pa.table(columns, schema=pa.schema(KINDS))
+
+    return run
 
 
 def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:

@@ -33,3 +33,22 @@ def test_pruned_ranking_is_that_of_all_symbols(spark):
         pruned = bm25_top(rel, queries, limit, ranks)
         columns = ("query", "node", "score", "place")
         assert sorted((*[r[c] for c in columns], *r["matched"]) for r in pruned.collect()) == sorted((*[r[c] for c in columns], *r["matched"]) for r in every.collect())
+
+
+def test_ranking_by_shards_and_chunks_is_that_of_all_symbols(spark, monkeypatch):
+    """However few symbols and sets of words meet in one task."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 400)
+    monkeypatch.setattr(search, "CHUNK_SETS", 12)
+    rel = Relations(spark, FOLDER)
+    queries = rel.table("search_hits").where("query IS NOT NULL").select("query").distinct().orderBy("query").limit(60)
+    every = top_hits(bm25(rel, queries), 3)
+    sharded = bm25_top(rel, queries, 3)
+    columns = ("query", "node", "score", "place")
+    assert sorted((*[r[c] for c in columns], *r["matched"]) for r in sharded.collect()) == sorted((*[r[c] for c in columns], *r["matched"]) for r in every.collect())
+
+
+def test_terms_are_worked_out_once_for_a_word(spark):
+    rel = Relations(spark, FOLDER)
+    held = search.held_words(rel)
+    told = search.word_terms(held).groupBy("word").count()
+    assert told.count() == told.select("word").distinct().count() <= held.select("word").distinct().count() < held.count() / 2
