@@ -176,15 +176,18 @@ def bm25_top(rel: Relations, queries: DataFrame, limit: int, percentiles: DataFr
     by_set = materialize(skew_join(of_query.select("query", "words"), sets.select("words", "set"), "words", "inner").select("query", "set"))
     symbols = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
     order = Window.partitionBy("set").orderBy(F.desc("rounded"), "id")
-    common = _best_of_sets(sets, parts, limit).withColumn("rounded", F.bround("score", 3)).join(symbols, "node")
-    common = materialize(common.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "matched", "score", "name"))
-    found = skew_join(by_set, common, "set", "inner").select("query", "node", "id", "matched", "score", "name")
+    common = _best_of_sets(sets, parts, limit).withColumn("rounded", F.bround("score", 3)).join(symbols.select("node", "id"), "node")
+    common = materialize(common.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "matched", "score"))
+    found = skew_join(by_set, common, "set", "inner").select("query", "node", F.struct(F.lit(False).alias("named"), "score", "id", "matched").alias("hit"))
     names = symbols.select(F.lower("name").alias("squeezed"), "node")
     named = skew_join(of_query.select("query", "words", "numbers", _squeezed("query").alias("squeezed")), names, "squeezed", "inner")
     named = named.select("query", "node", F.explode(F.arrays_zip(F.split("words", " ").alias("asked"), F.col("numbers").alias("word"))).alias("w")).select("query", "node", "w.asked", "w.word")
     named = _scored(rel, named.join(parts, ["word", "node"]))
-    either = found.unionByName(named.select(*found.columns)).dropDuplicates(["query", "node"])
-    return top_hits(_boosted(either), limit)
+    named = named.select("query", "node", F.struct(F.lit(True).alias("named"), "score", "id", "matched").alias("hit"))
+    # one shuffle by query serves the choice between both and the ranking
+    either = found.unionByName(named).repartition("query").groupBy("query", "node").agg(F.max("hit").alias("hit"))
+    boost = F.when(F.col("hit.named"), NAME_BOOST).otherwise(1.0)
+    return top_hits(either.select("query", "node", "hit.id", "hit.matched", F.bround(F.col("hit.score") * boost, 3).alias("score")), limit)
 
 
 def _best_of_sets(sets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
