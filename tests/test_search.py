@@ -52,3 +52,13 @@ def test_terms_are_worked_out_once_for_a_word(spark):
     held = search.held_words(rel)
     told = search.word_terms(held).groupBy("word").count()
     assert told.count() == told.select("word").distinct().count() <= held.select("word").distinct().count() < held.count() / 2
+
+
+def test_a_shard_ranks_sets_of_words_with_its_own_symbols():
+    """As search_quality needs it for all known items: best first kept, ties kept, words that are not in the shard left out."""
+    import pyarrow as pa
+
+    parts = pa.table({"word": [1, 1, 1, 2, 2], "node": [10, 11, 12, 11, 13], "part": [1.0, 2.0, 2.0, 1.5, 3.0]})
+    sets = pa.table({"set": [7, 8, 9], "words": ["get load", "zip", "load zip"], "numbers": pa.array([[1, 2], [5], [2, 5]], pa.list_(pa.int64())), "reached": [0.0, 0.0, 2.0]})
+    found = search._best_of_shard(2)(parts, sets).to_pylist()
+    assert sorted((r["set"], r["node"], r["score"], r["matched"]) for r in found) == [(7, 11, 3.5, ["get", "load"]), (7, 13, 3.0, ["load"]), (9, 13, 3.0, ["load"])]
