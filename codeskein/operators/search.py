@@ -138,9 +138,9 @@ def _parts(rel: Relations, known: DataFrame, percentiles: DataFrame | None = Non
     return met.groupBy("word", "node").agg((F.max(F.col("factor") * F.col("idf") * F.col("tf")) * F.first("node_weight")).alias("part"))
 
 
-def _scored(rel: Relations, parts: DataFrame, key: str = "query") -> DataFrame:
-    """parts: ``key``, node, asked, part. Gives ``key``, node, id, matched (asked words met, sorted), score, and name."""
-    scores = parts.groupBy(key, "node").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
+def _scored(rel: Relations, parts: DataFrame) -> DataFrame:
+    """parts: query, node, asked, part. Gives query, node, id, matched (asked words met, sorted), score, and name."""
+    scores = parts.groupBy("query", "node").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
     return scores.join(rel.symbols.select(F.col("seq").alias("node"), "id", "name"), "node")
 
 
@@ -162,32 +162,66 @@ def bm25_top(rel: Relations, queries: DataFrame, limit: int, percentiles: DataFr
     Queries that come down to the same held words are ranked once, by those words. Only the boost of a symbol of the
     queried name depends on the query itself: such symbols are scored besides, and as it only raises them, the best of a
     query are among them and the best of its words.
+
+    queries: query, and node if right answers are known, a row for each. Then a query's hits are given down to its best
+    right answer only, none if no right answer holds a word. Right answers are scored first; a set of words is ranked
+    only if the best parts of its words add up to the score of one, and then with that score as the least.
     """
+    right = queries.select("query", "node").distinct() if "node" in queries.columns else None
     asked = materialize(query_terms(queries).withColumnRenamed("term", "asked"))
     known = materialize(asked.select("asked").distinct().withColumn("word", F.monotonically_increasing_id()))
     parts = materialize(_parts(rel, known, percentiles))
     best = parts.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("part")))).where(F.col("n") <= limit)
-    best = best.groupBy("word").agg(F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached"))
+    best = best.groupBy("word").agg(F.max(F.when(F.col("n") == limit, F.col("part"))).alias("reached"), F.max("part").alias("most"))
     held = skew_join(asked, materialize(known.join(best, "word")), "asked", "inner")
-    of_query = held.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("asked", "word"))).alias("held"), F.coalesce(F.max("reached"), F.lit(0.0)).alias("reached"))
-    of_query = materialize(of_query.select("query", F.array_join("held.asked", " ").alias("words"), F.col("held.word").alias("numbers"), "reached"))
-    sets = of_query.groupBy("words").agg(F.first("numbers").alias("numbers"), F.first("reached").alias("reached"))
+    of_query = held.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("asked", "word"))).alias("held"), F.coalesce(F.max("reached"), F.lit(0.0)).alias("reached"), F.sum("most").alias("most"))
+    of_query = materialize(of_query.select("query", F.array_join("held.asked", " ").alias("words"), F.col("held.word").alias("numbers"), "reached", "most"))
+    symbols = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
+    alone = _scored_alone(symbols, of_query, parts, right)
+    if right is not None:
+        alone = materialize(alone)
+        least = alone.where("right").withColumn("score", _boosted_score(F.col("named"), F.col("score"))).groupBy("query").agg(F.min(_place()).alias("least"))
+        of_query = materialize(of_query.join(least, "query").withColumn("reached", F.greatest("reached", -F.col("least.down"))))
+    sets = of_query.where(F.col("most") >= F.col("reached") - ROUNDING).groupBy("words").agg(F.first("numbers").alias("numbers"), F.min("reached").alias("reached"))
     sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()))
     by_set = materialize(skew_join(of_query.select("query", "words"), sets.select("words", "set"), "words", "inner").select("query", "set"))
-    symbols = rel.symbols.select(F.col("seq").alias("node"), "id", "name")
+    if right is not None:
+        parts = materialize(parts.join(sets.select(F.explode("numbers").alias("word")).distinct(), "word", "left_semi"))
     order = Window.partitionBy("set").orderBy(F.desc("rounded"), "id")
     common = _best_of_sets(sets, parts, limit).withColumn("rounded", F.bround("score", 3)).join(symbols.select("node", "id"), "node")
     common = materialize(common.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("set", "node", "id", "matched", "score"))
     found = skew_join(by_set, common, "set", "inner").select("query", "node", F.struct(F.lit(False).alias("named"), "score", "id", "matched").alias("hit"))
-    names = symbols.select(F.lower("name").alias("squeezed"), "node")
-    named = skew_join(of_query.select("query", "words", "numbers", _squeezed("query").alias("squeezed")), names, "squeezed", "inner")
-    named = named.select("query", "node", F.explode(F.arrays_zip(F.split("words", " ").alias("asked"), F.col("numbers").alias("word"))).alias("w")).select("query", "node", "w.asked", "w.word")
-    named = _scored(rel, named.join(parts, ["word", "node"]))
-    named = named.select("query", "node", F.struct(F.lit(True).alias("named"), "score", "id", "matched").alias("hit"))
+    named = alone.select("query", "node", F.struct("named", "score", "id", "matched").alias("hit"))
     # one shuffle by query serves the choice between both and the ranking
     either = found.unionByName(named).repartition("query").groupBy("query", "node").agg(F.max("hit").alias("hit"))
-    boost = F.when(F.col("hit.named"), NAME_BOOST).otherwise(1.0)
-    return top_hits(either.select("query", "node", "hit.id", "hit.matched", F.bround(F.col("hit.score") * boost, 3).alias("score")), limit)
+    either = either.select("query", "node", "hit.id", "hit.matched", _boosted_score(F.col("hit.named"), F.col("hit.score")).alias("score"))
+    if right is not None:
+        either = either.join(of_query.select("query", "least"), "query").where(_place() <= F.col("least")).drop("least")
+    return top_hits(either, limit)
+
+
+def _scored_alone(symbols: DataFrame, of_query: DataFrame, parts: DataFrame, right: DataFrame | None) -> DataFrame:
+    """query, node, id, matched, score, named, right: the symbols of a query's name, and its right answers (query, node) if given."""
+    words_of = of_query.select("query", "words", "numbers", _squeezed("query").alias("squeezed"))
+    alone = skew_join(words_of, symbols.select(F.lower("name").alias("squeezed"), "node"), "squeezed", "inner")
+    alone = alone.select("query", "node", "words", "numbers", F.lit(True).alias("named"), F.lit(False).alias("right"))
+    if right is not None:
+        answers = right.join(words_of, "query").select("query", "node", "words", "numbers", F.lit(False).alias("named"), F.lit(True).alias("right"))
+        once = [F.first("words").alias("words"), F.first("numbers").alias("numbers"), F.max("named").alias("named"), F.max("right").alias("right")]
+        alone = alone.unionByName(answers).groupBy("query", "node").agg(*once)
+    each = F.explode(F.arrays_zip(F.split("words", " ").alias("asked"), F.col("numbers").alias("word")))
+    alone = alone.select("query", "node", "named", "right", each.alias("w")).select("query", "node", "named", "right", "w.asked", "w.word")
+    scores = alone.join(parts, ["word", "node"]).groupBy("query", "node", "named", "right").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("asked")).alias("matched"))
+    return scores.join(symbols.select("node", "id"), "node")
+
+
+def _boosted_score(named: Column, score: Column) -> Column:
+    return F.bround(score * F.when(named, NAME_BOOST).otherwise(1.0), 3)
+
+
+def _place() -> Column:
+    """What hits of a query are ranked by, least first."""
+    return F.struct((-F.col("score")).alias("down"), F.col("id"))
 
 
 def _best_of_sets(sets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
@@ -208,6 +242,17 @@ def _best_of_sets(sets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
     return dealt.groupBy("shard", "chunk").cogroup(given.groupBy("shard", "chunk")).applyInArrow(_best_of_shard(limit), kinds)
 
 
+def _needed(lists: list[np.ndarray], most: list[float], floor: float) -> list[np.ndarray]:
+    """The lists of which a symbol must be in one to reach ``floor``: long ones are left out as far as their best parts don't add up to it."""
+    needed, without = [], 0.0
+    for k in sorted(range(len(lists)), key=lambda k: -len(lists[k])):
+        if without + most[k] < floor:
+            without += most[k]
+        else:
+            needed.append(lists[k])
+    return needed
+
+
 def _best_of_shard(limit: int):
     def run(parts: pa.Table, sets: pa.Table) -> pa.Table:
         word, node, part = (parts[c].to_numpy() for c in ("word", "node", "part"))
@@ -222,18 +267,28 @@ def _best_of_shard(limit: int):
         at = np.minimum(np.searchsorted(held, wanted), max(len(held) - 1, 0))
         present = held[at] == wanted if len(held) else np.zeros(len(wanted), bool)
         low, high = (x[at] if len(held) else at for x in (first, ends))
-        low, high, present, bounds = low.tolist(), high.tolist(), present.tolist(), bounds.tolist()
-        least = (sets["reached"].to_numpy() - ROUNDING).tolist()
+        most = np.where(present, np.maximum.reduceat(part, first)[at], 0.0) if len(held) else np.zeros(len(wanted))
+        least, up_to = sets["reached"].to_numpy() - ROUNDING, np.append(0.0, np.cumsum(most))
+        met_sets = np.flatnonzero(up_to[bounds[1:]] - up_to[bounds[:-1]] >= least).tolist()
+        low, high, most, present, bounds, least = low.tolist(), high.tolist(), most.tolist(), present.tolist(), bounds.tolist(), least.tolist()
         total = np.zeros(len(nodes))
         found: list[tuple] = []  # index of the set, places, scores
         met: list[tuple] = []  # matched words: how many for each place, and their indices
-        for k, floor in enumerate(least):
+        for k in met_sets:
+            floor = least[k]
             mine = [j for j in range(bounds[k], bounds[k + 1]) if present[j]]
             lists = [place[low[j] : high[j]] for j in mine]
             if len(mine) == 1:
                 score = part[low[mine[0]] : high[mine[0]]]
                 of = np.flatnonzero(score >= floor)
                 of, score = lists[0][of], score[of]
+            elif mine and 4 * sum(map(len, needed := _needed(lists, [most[j] for j in mine], floor))) < sum(map(len, lists)):
+                of = np.unique(np.concatenate(needed)) if needed else np.zeros(0, int)
+                score = np.zeros(len(of))
+                for j, x in zip(mine, lists):
+                    near = np.minimum(np.searchsorted(x, of), len(x) - 1)
+                    score += np.where(x[near] == of, part[low[j] + near], 0.0)
+                of, score = of[score >= floor], score[score >= floor]
             elif mine:
                 for j, x in zip(mine, lists):
                     total[x] += part[low[j] : high[j]]
@@ -272,7 +327,7 @@ def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def reciprocal_ranks(rel: Relations, questions: DataFrame, percentiles: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """How right answers fare in this ranking: questions, mean reciprocal rank of the best right answer within ``limit``,
+    """How right answers fare in this ranking, followed down to the best of them: questions, mean reciprocal rank of the best right answer within ``limit``,
     and the share of questions with one among the first five. questions: query, node, a row per right answer."""
     right = questions.select("query", "node").distinct()
     ranked = bm25_top(rel, right, limit, percentiles).select("query", "node", "place")

@@ -3,7 +3,7 @@ from compare import FOLDER
 from codeskein.operators import search
 from codeskein.operators.search import bm25, bm25_top, top_hits
 from codeskein.plans.graph import rank_percentile
-from codeskein.plans.search import search_quality
+from codeskein.plans.search import known_items, search_quality
 from codeskein.relations import Relations
 
 
@@ -62,3 +62,41 @@ def test_a_shard_ranks_sets_of_words_with_its_own_symbols():
     sets = pa.table({"set": [7, 8, 9], "words": ["get load", "zip", "load zip"], "numbers": pa.array([[1, 2], [5], [2, 5]], pa.list_(pa.int64())), "reached": [0.0, 0.0, 2.0]})
     found = search._best_of_shard(2)(parts, sets).to_pylist()
     assert sorted((r["set"], r["node"], r["score"], r["matched"]) for r in found) == [(7, 11, 3.5, ["get", "load"]), (7, 13, 3.0, ["load"]), (9, 13, 3.0, ["load"])]
+
+
+def test_known_items_are_followed_down_to_the_best_right_answer(spark, monkeypatch):
+    """Places are those of ranking everything, whatever the right answers; for types asked for by name hardly any set of words is ranked."""
+    ranked, plain = [], search._best_of_sets
+
+    def noted(sets, parts, limit):
+        ranked.append(sets.count())
+        return plain(sets, parts, limit)
+
+    monkeypatch.setattr(search, "_best_of_sets", noted)
+    rel = Relations(spark, FOLDER)
+    ranks = spark.createDataFrame([(1000 + i, (i * 37 % 160) / 160) for i in range(160)], "node long, percentile double")
+    items = known_items(rel)
+    nodes = [r["seq"] for r in rel.symbols.select("seq").orderBy("seq").collect()]
+    asked = [r["query"] for r in items.select("query").distinct().orderBy("query").limit(40).collect()] + ["get the loader of needle", "zzz", "load", "the"]
+    other = spark.createDataFrame([(q, nodes[(k * 53 + j * 7) % len(nodes)]) for k, q in enumerate(asked) for j in range(4)], "query string, node long")
+    columns = ("query", "node", "score", "place")
+    for right, limit in ((items, 20), (other, 20), (other, 3)):
+        every = [(*[r[c] for c in columns], *r["matched"]) for r in top_hits(bm25(rel, right, ranks), 1000).collect()]
+        answers = {(r["query"], r["node"]) for r in right.collect()}
+        down_to = {}
+        for query, node, _, place, *_ in every:
+            if (query, node) in answers:
+                down_to[query] = min(place, down_to.get(query, place))
+        expected = sorted(r for r in every if r[3] <= min(limit, down_to.get(r[0], 0)))
+        assert sorted((*[r[c] for c in columns], *r["matched"]) for r in bm25_top(rel, right, limit, ranks).collect()) == expected
+        assert not down_to.keys() >= {"zzz", "the"} and (limit > 3 or max(down_to.values()) > limit)
+    assert ranked[0] < items.select("query").distinct().count() / 4
+
+
+def test_long_lists_that_cannot_reach_the_least_score_are_left_out():
+    import numpy as np
+
+    long, middle, short = np.arange(90), np.arange(20), np.arange(3)
+    assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 3.5)] == [3]
+    assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 2.5)] == [20, 3]
+    assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 0.0)] == [90, 20, 3]
