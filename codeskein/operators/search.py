@@ -82,14 +82,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def completions(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query, asked, term, factor: each asked term and the next thirty terms it is a prefix of.
 
-    The range join is an equi join on the first LEAST_PREFIX letters with a residual, so it hashes.
+    Terms of one prefix stand behind it without a gap, so they are looked for among the next thirty only, in the order
+    of the terms of the same first LEAST_PREFIX letters.
     """
     exact = asked.join(vocabulary.select("term"), "term", "left_semi").select("query", F.col("term").alias("asked"), "term", F.lit(1.0).alias("factor"))
-    wanted = asked.where(F.length("term") >= LEAST_PREFIX).select(F.col("term").alias("asked"), F.substring("term", 1, LEAST_PREFIX).alias("head")).distinct()
-    heads = vocabulary.select("term", F.substring("term", 1, LEAST_PREFIX).alias("head"))
-    longer = wanted.join(heads, "head").where((F.col("term") > F.col("asked")) & F.col("term").startswith(F.col("asked")))
-    order = Window.partitionBy("asked").orderBy("term")
-    longer = longer.withColumn("n", F.row_number().over(order)).where(F.col("n") <= COMPLETIONS).select("asked", "term")
+    wanted = asked.where(F.length("term") >= LEAST_PREFIX).select("term", F.lit(False).alias("held"), F.lit(True).alias("wanted"))
+    every = wanted.unionByName(vocabulary.select("term", F.lit(True).alias("held"), F.lit(False).alias("wanted"))).groupBy("term").agg(F.max("held").alias("held"), F.max("wanted").alias("wanted"))
+    head = Window.partitionBy(F.substring("term", 1, LEAST_PREFIX))
+    every = every.withColumn("n", F.count(F.when(F.col("held"), 1)).over(head.orderBy("term").rowsBetween(Window.unboundedPreceding, 0)))
+    following = F.collect_list(F.when(F.col("held"), F.col("term"))).over(head.orderBy("n").rangeBetween(1, COMPLETIONS))
+    longer = every.withColumn("following", following).where("wanted").select(F.col("term").alias("asked"), F.explode("following").alias("term"))
+    longer = longer.where(F.col("term").startswith(F.col("asked")))
     more = asked.withColumnRenamed("term", "asked").join(longer, "asked").select("query", "asked", "term", F.lit(COMPLETION_FACTOR).alias("factor"))
     return exact.unionByName(more)
 

@@ -35,6 +35,19 @@ def test_distributed_rank_equals_array_rank(spark, monkeypatch):
     assert pagerank(nodes.limit(0), links, 2).count() == 0
 
 
+def test_rank_by_blocks_equals_array_rank(spark, monkeypatch):
+    """Whatever the blocks: most nodes go out to one, some have no links, negative numbers, more rounds than one job holds."""
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(i * 7 - 100,) for i in range(60)], "node long")
+    rows = [((rng.randrange(40) if i % 3 else 3) * 7 - 100, (rng.randrange(60) if i % 2 else 8) * 7 - 100, rng.random() + 0.1) for i in range(200)]
+    links = spark.createDataFrame(rows, "src long, dst long, weight double")
+    one = {r["node"]: r["rank"] for r in pagerank(nodes, links, 19).collect()}
+    monkeypatch.setattr(closures, "ONE_TASK_LINKS", 0)
+    monkeypatch.setattr(closures, "BLOCK_LINKS", 9)
+    many = {r["node"]: r["rank"] for r in pagerank(nodes, links, 19).collect()}
+    assert len(many) == 60 and many == pytest.approx(one, rel=1e-12)
+
+
 def test_percentile_is_distinct_for_ties(spark):
     rows = spark.createDataFrame([(i, float(i % 3)) for i in range(9)], "node long, rank double")
     got = percentile(rows, "rank", "node").orderBy("rank", "node").collect()

@@ -100,3 +100,18 @@ def test_long_lists_that_cannot_reach_the_least_score_are_left_out():
     assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 3.5)] == [3]
     assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 2.5)] == [20, 3]
     assert [len(x) for x in search._needed([short, long, middle], [4.0, 1.0, 2.0], 0.0)] == [90, 20, 3]
+
+
+def test_completions_are_the_next_thirty_terms_of_the_prefix(spark):
+    """Whether the asked word is a term itself or not, and without comparing it to all terms that begin alike."""
+    terms = sorted({f"con{a}{b}" for a in "aemnz" for b in ["", *"abcdefghijk"]} | {"con", "co", "cop", "dog", "dogé", "dogs"})
+    asked = ["con", "cona", "conb", "conm", "conzk", "conzz", "co", "dog", "dogé", "do", "zip"]
+    rows = spark.createDataFrame([(f"q{i % 4}", w) for i, w in enumerate(asked)] + [("q9", "con")], "query string, term string")
+    found = search.completions(rows, spark.createDataFrame([(t,) for t in terms], "term string"))
+    expected = []
+    for query, word in [(f"q{i % 4}", w) for i, w in enumerate(asked)] + [("q9", "con")]:
+        longer = [t for t in terms if t > word and t.startswith(word)][:30] if len(word) >= 3 else []
+        expected += [(query, word, word, 1.0)] * (word in terms) + [(query, word, t, 0.4) for t in longer]
+    assert sorted(tuple(r) for r in found.select("query", "asked", "term", "factor").collect()) == sorted(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower().split("\n")
+    assert not [x for x in plan if "join" in x and "startswith" in x]
