@@ -98,13 +98,16 @@ def _block_ranks(nodes: DataFrame, folded: DataFrame, n: int, iterations: int, d
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     owned, dealt = nodes.select(of("node").alias("block"), "node"), folded.select(of("src").alias("block"), "src", "dst", of("dst").alias("to"), "weight")
     held = materialize(owned.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_block(blocks), _BLOCK))
+    held = held.repartition(blocks, "block").persist()  # moved once, not in every job
     first, send, rank = (_block_round(gives, blocks, n, damping) for gives in (None, "send", "rank"))
     sent = held.groupBy("block").applyInArrow(first, _SENT)
     for k in range(1, iterations):
         sent = held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(send, _SENT)
         if k % CUT_EVERY == 0:
             sent = materialize(sent)
-    return materialize(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(rank, "node long, rank double"))
+    ranks = materialize(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(rank, "node long, rank double"))
+    held.unpersist()
+    return ranks
 
 
 def _block(blocks: int):
