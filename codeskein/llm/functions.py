@@ -1,23 +1,23 @@
 """Functions paired with the descriptions in their documentation comments.
 
-Comment spans and function spans are found independently of each other; an as-of join gives every function the
-nearest documentation comment that ends before it, and it is kept only if the next token after the comment is the
-function's first: anything else in between, a statement or another declaration, breaks the pair. Attributes,
-template heads and specifiers belong to the function.
+Comment spans and function spans are found independently of each other and joined on the token after the comment,
+which must be the function's first: anything else in between, a statement or another declaration, breaks the pair. Of
+several comments in front of a token the nearest counts. Attributes, template heads and specifiers belong to the
+function. Texts without a documentation comment are not parsed, for they have no pairs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeskein.lang.grammars import DROPPED, FOLDED, readings
+from codeskein.lang.grammars import DROPPED, FOLDED, readings, tokens_of
 from codeskein.llm.syntax import suffix
 
 # File suffixes of the two languages.
@@ -25,6 +25,8 @@ SUFFIXES = {"cs": "CSharp", "c": "Cpp", "cc": "Cpp", "cpp": "Cpp", "cxx": "Cpp",
 
 _BRACE = re.compile("[{}]")
 _STOP = re.compile("[;{}]")
+#: Statements and ends of blocks that hold no function: no arrow, and parentheses, if any, closed before the end.
+_PLAIN = re.compile(r"(?:(?:[^;{}A()]|\((?:[^;{}A()]|\([^;{}A()]*+\))*+\))*+[;}])++")
 _LABELS = re.compile("(?:p[N]?:)+")
 #: What stands before a local function's name: attributes, modifiers, and its result's type.
 _LOCAL = re.compile(r"(?:\[[^;{}]*?\])*[M7]*[N(][N0-9.,?*<>()\[\]]*")
@@ -32,13 +34,15 @@ _LOCAL = re.compile(r"(?:\[[^;{}]*?\])*[M7]*[N(][N0-9.,?*<>()\[\]]*")
 _NAMES = frozenset("N0123456789T")
 
 
-def _closing(kinds: str, at: int) -> int:
-    depth = 0
-    for m in _BRACE.finditer(kinds, at):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.start()
-    return len(kinds) - 1
+def _closings(kinds: str) -> dict[int, int]:
+    """Place of the brace that closes the one at a place, the last place of all if none does."""
+    closing, opened = {}, []
+    for m in _BRACE.finditer(kinds):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            closing[opened.pop()] = m.start()
+    return closing | dict.fromkeys(opened, len(kinds) - 1)
 
 
 def _angle_start(kinds: str, at: int, low: int) -> int:
@@ -99,20 +103,25 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
     """(first, name, opening, closing, body, last place) of every function with a body, those inside other bodies too."""
     sharp = language == "CSharp"
     found, start, pos = [], 0, 0
+    closing = _closings(kinds)
     scopes: list[tuple[int, bool]] = []  # closing place of what is open, and whether it is a body
-    while m := _STOP.search(kinds, pos):
+    while True:
+        if start == pos and (m := _PLAIN.match(kinds, pos)):
+            start = pos = m.end()
+        if not (m := _STOP.search(kinds, pos)):
+            break
         p, c = m.start(), m[0]
         while scopes and scopes[-1][0] < p:
             scopes.pop()
         body = bool(scopes) and scopes[-1][1]
         if kinds.count("(", start, p) > kinds.count(")", start, p):
             if c == "{" and body:
-                scopes.append((_closing(kinds, p), True))
+                scopes.append((closing[p], True))
                 start = pos = p + 1
             else:
-                pos = (_closing(kinds, p) if c == "{" else p) + 1
+                pos = (closing[p] if c == "{" else p) + 1
             continue
-        if c == "}" or (c == ";" and not sharp):
+        if c == "}" or (c == ";" and not (sharp and "A" in kinds[start:p])):
             start = pos = p + 1
             continue
         first = start
@@ -129,8 +138,10 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
                 body_from = i + 1
         else:
             body_from = first
-        top = _top_level(kinds, body_from, p)
-        flat = "".join(k for k, _, _ in top)
+        flat, top = kinds[body_from:p], []
+        if "(" in flat or "[" in flat:  # else nothing is grouped and there is no header
+            top = _top_level(kinds, body_from, p)
+            flat = "".join([k for k, _, _ in top])
         if c == ";":
             arrow = flat.find("A")
             if arrow > 0 and (head := _header(top[:arrow], kinds, body_from)) and (not body or _LOCAL.fullmatch(kinds, first, head[0])):
@@ -147,14 +158,14 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
         if head and body and not (sharp and _LOCAL.fullmatch(kinds, first, head[0])):
             head = None
         if "E" in flat:
-            start = pos = _closing(kinds, p) + 1
+            start = pos = closing[p] + 1
         elif inside or head is None:
-            scopes.append((_closing(kinds, p), not inside))
+            scopes.append((closing[p], not inside))
             start = pos = p + 1
         elif not sharp and ":" in kinds[head[2] : p] and kinds[p - 1] in "N>":
-            pos = _closing(kinds, p) + 1  # a member's initialiser in braces
+            pos = closing[p] + 1  # a member's initialiser in braces
         else:
-            last = _closing(kinds, p)
+            last = closing[p]
             found.append((first, *head, p, last))
             scopes.append((last, True))
             start = pos = p + 1
@@ -163,6 +174,7 @@ def function_spans(kinds: str, language: str) -> list[tuple[int, int, int, int,
 
 _MARKS = re.compile(r"^[ \t]*(?://[/!]|/\*[*!]+|\*(?!/))(?:<(?![A-Za-z/]))?|\*/[ \t]*$", re.M)
 _DOC = {"Cpp": re.compile(r"///(?![/<])|//!(?!<)|/\*\*(?![*/<])|/\*!(?!<)"), "CSharp": re.compile(r"///(?!/)|//!|/\*\*(?![*/])|/\*!")}  # '<' is a mark of Doxygen
+_DOC_START = re.compile(r"//[/!]|/\*[*!]")  # in every text that has a match of the above
 _UNSAID = re.compile(r"<(param|typeparam|returns|exception|value|permission|example|code|seealso)\b[^>]*?(?:/>|>.*?(?:</\1>|\Z))", re.S | re.I)
 _SUMMARY = re.compile(r"<summary\s*>(.*?)(?:</summary\s*>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"<(?:see|paramref|typeparamref)\b[^>]*?\b(?:cref|name|langword)\s*=\s*[\"'](?:\w:)?([^\"']*)[\"'][^>]*>", re.I)
@@ -196,6 +208,7 @@ def description(comment: str) -> str:
     return ""
 
 
+@lru_cache(maxsize=50_000)
 def _stem(word: str) -> str:
     w = word.lower()
     for end, new in (("ies", "y"), ("ied", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
@@ -266,38 +279,71 @@ def _parameters(tokens: list[str], language: str) -> list[dict]:
     return out
 
 
-def _spans(tokens: list[str], kinds: list[str], language: str) -> tuple[list[tuple], list[tuple]]:
-    """Documentation comments (end, next token, text) and functions (start, name place, ...), by offsets."""
+def _after(tokens: list[str], kinds: list[str], at: int) -> int:
+    """The first place from ``at`` on of a token that is neither space, comment nor directive, nor left out."""
+    n = len(tokens)
+    while at < n and (kinds[at] == DROPPED or tokens[at].isspace() or tokens[at][:2] in ("//", "/*") or tokens[at][0] == "#"):
+        at += 1
+    return at
+
+
+def _comments(tokens: list[str], kinds: list[str], starts: list[int]) -> dict[int, tuple[int, int]]:
+    """First and last token of the nearest documentation comment before a token, by that token's place."""
+    found: dict[int, tuple[int, int]] = {}
+    past = follows = 0
+    known, n = set(starts), len(tokens)
+    for i in starts:
+        if i < past or kinds[i] != FOLDED:
+            continue
+        last = i
+        if tokens[i][1] == "/":  # line comments in a row are one
+            while last + 2 in known and tokens[last + 1].isspace() and tokens[last + 1].count("\n") == 1 and tokens[last + 2][1] == "/" and kinds[last + 2] == FOLDED:
+                last += 2
+        past = last + 1
+        if past > follows:
+            follows = _after(tokens, kinds, past)
+        if follows < n:
+            found[follows] = i, last
+    return found
+
+
+def _documented(text: str, language: str) -> Iterator[tuple]:
+    """(line of the name, name, description, tokens, places of the function's first token, name, parentheses, body and
+    last token) of the functions whose comment says something."""
+    if not _DOC_START.search(text):
+        return
     doc = _DOC[language]
-    ends = list(accumulate(map(len, tokens)))
-    real = [i for i, k in enumerate(kinds) if k != FOLDED and k != DROPPED]
-    comments: list[tuple] = []
-    i, n = 0, len(tokens)
-    while i < n:
-        t = tokens[i]
-        if t[0] == "/" and kinds[i] == FOLDED and doc.match(t):
-            first = i
-            if t[1] == "/":  # line comments in a row are one
-                while i + 2 < n and tokens[i + 1].isspace() and tokens[i + 1].count("\n") == 1 and doc.match(tokens[i + 2]) and tokens[i + 2][:2] == "//" and kinds[i + 2] == FOLDED:
-                    i += 2
-            follows = i + 1
-            while follows < n and (kinds[follows] == DROPPED or tokens[follows].isspace() or tokens[follows][:2] in ("//", "/*") or tokens[follows][0] == "#"):
-                follows += 1
-            comments.append((ends[i], ends[follows - 1] if follows < n else -1, "".join(tokens[first : i + 1])))
-        i += 1
-    functions = []
-    for first, name, opening, closing, body, last in function_spans("".join(kinds).replace(FOLDED, "").replace(DROPPED, ""), language):
-        a = real[first - 1] + 1 if first else 0
-        while tokens[a].isspace() or tokens[a][:2] in ("//", "/*") or tokens[a][0] == "#" or kinds[a] == DROPPED:
-            a += 1
-        at = real[name]
-        label = tokens[at]
-        if kinds[at] == "O":
-            label = "".join(tokens[at : real[opening]]).replace(" ", "")
-        elif name and kinds[real[name - 1]] == "P" and tokens[real[name - 1]] == "~":
-            label = "~" + label
-        functions.append((ends[a] - len(tokens[a]), ends[at] - len(tokens[at]), label, ends[real[last]], tokens[a:at], tokens[real[opening] + 1 : real[closing]], tokens[at + 1 : real[opening]], tokens[real[closing] + 1 : real[body]]))
-    return comments, functions
+    tokens = tokens_of(text, language)
+    starts = [i for i, t in enumerate(tokens) if t[0] == "/" and doc.match(t)]
+    if not starts:
+        return
+    seen = set()
+    for kinds in readings(tokens, language):
+        comments = _comments(tokens, kinds, starts)
+        if not comments:
+            continue
+        flat = "".join(kinds)
+        codes = np.frombuffer(flat.encode("ascii"), np.uint8)
+        real = np.flatnonzero((codes != ord(FOLDED)) & (codes != ord(DROPPED))).tolist()
+        line, counted = 1, 0
+        for first, name, opening, closing, body, last in function_spans(flat.replace(FOLDED, "").replace(DROPPED, ""), language):
+            a = _after(tokens, kinds, real[first - 1] + 1 if first else 0)
+            at = real[name]
+            if a not in comments or at in seen:
+                continue
+            seen.add(at)
+            label = tokens[at]
+            if kinds[at] == "O":
+                label = "".join(tokens[at : real[opening]]).replace(" ", "")
+            elif name and kinds[real[name - 1]] == "P" and tokens[real[name - 1]] == "~":
+                label = "~" + label
+            i, j = comments[a]
+            said = description("".join(tokens[i : j + 1]))
+            if says_nothing(said, label.lstrip("~")):
+                continue
+            line += "".join(tokens[counted:at]).count("\n")
+            counted = at
+            yield line, label, said, tokens, (a, at, real[opening], real[closing], real[body], real[last])
 
 
 def _result_type(before: list[str]) -> str:
@@ -347,37 +393,32 @@ _PAIRS = "doc_id long, line_no int, name string, language string, signature stri
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        comments, functions, base = [], [], 0
-        texts, languages, docs = pdf["text"].tolist(), pdf["language"].tolist(), pdf["doc_id"].tolist()
-        for d, (text, language) in enumerate(zip(texts, languages)):
-            tokens, ways = readings(text or "", language)
-            for kinds in ways:  # each reading stands as a text of its own
-                found = _spans(tokens, kinds, language)
-                comments += [(base + end, base + follows if follows >= 0 else -1, said) for end, follows, said in found[0]]
-                functions += [(base + f[0], d, f) for f in found[1]]
-                base += len(text or "") + 1
-        if not comments or not functions:
-            continue
-        nearest = np.searchsorted(np.array([c[0] for c in comments]), np.array([f[0] for f in functions]), "right") - 1
-        rows, seen = [], set()
-        for k, (start, d, f) in zip(nearest.tolist(), functions):
-            if k < 0 or comments[k][1] != start or (d, f[1]) in seen:
-                continue
-            seen.add((d, f[1]))
-            said = description(comments[k][2])
-            _, at, name, end, before, inside, generic, after = f
-            if says_nothing(said, name.lstrip("~")):
-                continue
-            parameters = _parameters(inside, languages[d])
-            kind = _result_type(before)
-            typed = _spaced(generic) if "<" in generic else ""
-            signature = f"{kind + ' ' if kind else ''}{name}{typed}({_spaced(inside)})" + "".join(f" {t}" for t in after if t in ("const", "&&"))
-            text = texts[d]
-            rows.append((docs[d], text.count("\n", 0, at) + 1, name, languages[d], signature, parameters, said, text[f[0] : end]))
+        rows = []
+        for doc, text, language in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["language"].tolist()):
+            for line, name, said, tokens, (first, at, opening, closing, body, last) in _documented(text, language):
+                inside, generic = tokens[opening + 1 : closing], tokens[at + 1 : opening]
+                kind = _result_type(tokens[first:at])
+                typed = _spaced(generic) if "<" in generic else ""
+                signature = f"{kind + ' ' if kind else ''}{name}{typed}({_spaced(inside)})" + "".join(f" {t}" for t in tokens[closing + 1 : body] if t in ("const", "&&"))
+                rows.append((doc, line, name, language, signature, _parameters(inside, language), said, "".join(tokens[first : last + 1])))
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "name", "language", "signature", "parameters", "description", "code"])
 
 
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for doc, text, language in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["language"].tolist()):
+            rows += [(doc, found[0], found[1]) for found in _documented(text, language)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "name"])
+
+
+def _files(docs: DataFrame) -> DataFrame:
+    of = F.create_map(*[F.lit(x) for pair in sorted(SUFFIXES.items()) for x in pair])
+    return docs.select("doc_id", of[suffix(F.col("path"))].alias("language"), "text").where(F.col("doc_id").isNotNull() & F.col("language").isNotNull() & (F.length("text") > 0))
+
+
 def documented_functions(docs: DataFrame) -> DataFrame:
     """Code and description pairs: doc_id, line_no, name, language, signature, parameters, description, code.
 
@@ -387,6 +428,9 @@ def documented_functions(docs: DataFrame) -> DataFrame:
     null ids and paths, other files and files that don't parse give none; repeated rows repeat theirs. Other
     columns are ignored. Texts are read in place and not shuffled.
     """
-    of = F.create_map(*[F.lit(x) for pair in sorted(SUFFIXES.items()) for x in pair])
-    files = docs.select("doc_id", of[suffix(F.col("path"))].alias("language"), "text").where(F.col("doc_id").isNotNull() & F.col("language").isNotNull() & (F.length("text") > 0))
-    return files.mapInPandas(_pairs, _PAIRS)
+    return _files(docs).mapInPandas(_pairs, _PAIRS)
+
+
+def documented_names(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no and name of ``documented_functions``, without the work for its other columns."""
+    return _files(docs).mapInPandas(_names, "doc_id long, line_no int, name string")

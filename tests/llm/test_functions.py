@@ -1,5 +1,12 @@
+import random
+import re
+import time
+
+import pandas as pd
 import pytest
 
+from codeskein.lang import grammars
+from codeskein.llm import functions
 from codeskein.llm.functions import description, documented_functions, says_nothing
 
 DOCS = "doc_id long, path string, text string, name string, language string"
@@ -144,3 +151,49 @@ int f() {
     assert [r["name"] for r in got if r["doc_id"] == 1] == ["operator()"]
     by = {r["name"]: r for r in got}
     assert by["Tight"]["description"] == "Counts what is left." and by["Taxed"]["code"] == "static int Taxed(int a) { return a; }"
+
+
+def test_names_take_no_work_for_other_columns(spark, monkeypatch):
+    texts = [("a.cs", SHARP), ("b.hpp", PLUS), ("c.js", SHARP), (None, SHARP), ("d.cs", None), ("e.cs", ""), ("f.cs", SHARP[:-5]), ("g.cs", SHARP.replace("\n", "\r\n"))]
+    df = spark.createDataFrame([(i, p, t, "n", "l") for i, (p, t) in enumerate(texts)], DOCS)
+    want = sorted((r["doc_id"], r["line_no"], r["name"]) for r in documented_functions(df).collect())
+    assert sorted(tuple(r) for r in functions.documented_names(df).collect()) == want and len(want) == 8
+
+    def fail(*_):
+        raise AssertionError
+
+    for part in ("_parameters", "_result_type", "_spaced"):
+        monkeypatch.setattr(functions, part, fail)
+    batch = pd.DataFrame([(1, PLUS, "Cpp")], columns=["doc_id", "text", "language"])
+    assert [tuple(r) for d in functions._names(iter([batch])) for r in d.itertuples(index=False)] == [(1, 5, "add"), (1, 10, "Box")]
+    monkeypatch.setattr(functions, "readings", fail)  # nothing is parsed without a documentation comment
+    bare = pd.DataFrame([(1, "int f() { return 1; } // plain", "Cpp"), (2, 'class A { string s = "/// no"; }', "CSharp")], columns=batch.columns)
+    assert list(functions._names(iter([bare]))) == list(functions._pairs(iter([bare]))) == []
+
+
+@pytest.mark.parametrize("language", ["CSharp", "Cpp"])
+def test_rules_match_only_where_their_needs_are(language):
+    pick = random.Random(5)
+    matches = 0
+    for pattern, _, needs in [r for rules in grammars._FOLDS[language] for r in rules]:
+        marks = re.sub(r"\\[AZ]|[\\|]|\(\?<?[:=!]", "", pattern.pattern) + "N()"
+        for _ in range(400):
+            kinds = "".join(pick.choices(marks, k=9)) if pick.random() < 0.5 else "".join(pick.choices(marks, k=3)) + needs + "".join(pick.choices(marks, k=3))
+            found = pattern.search(kinds)
+            matches += found is not None
+            assert found is None or needs in kinds, (pattern.pattern, needs, kinds)
+    assert matches > 1000
+
+
+def test_spans_in_linear_time():
+    start = time.process_time()
+    n = 20_000
+    assert functions.function_spans("NN(){" * n + "}" * n, "Cpp") == [(0, 1, 2, 3, 4, 6 * n - 1)]
+    assert functions.function_spans("N=N(N(N(N)));" * n + "NN()AN(N(N));" + "N(()A{N();});" * 10, "CSharp") == [(13 * n, 13 * n + 1, 13 * n + 2, 13 * n + 3, 13 * n + 4, 13 * n + 12)]
+    assert time.process_time() - start < 5
+
+
+def test_nearest_of_several_comments():
+    text = "/// Says the first thing.\n\n/** Says the second thing. */ // plain\n#define X 1\nint f() { return 1; }\n/// Closes the text.\n"
+    assert [r[:3] for r in functions._documented(text, "Cpp")] == [(5, "f", "Says the second thing.")]
+    assert [r[:3] for r in functions._documented("/// Runs it all.\n" * 3 + "int f() { return 1; }", "Cpp")] == [(4, "f", "Runs it all. Runs it all. Runs it all.")]
